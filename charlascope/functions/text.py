@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlascope.settings import SLOT_PATTERNS
@@ -28,12 +28,24 @@ def fold_tables() -> tuple[dict[str, str], dict[str, str]]:
     return one, several
 
 
+@lru_cache(maxsize=1)
+def _several_class() -> str:
+    """A character class that covers all characters of the second table, as a few ranges; it may match others too."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, fold_tables()[1])):
+        if ranges and code - ranges[-1][1] < 16:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
 def normalize_text(text: Column) -> Column:
     """Accent-free, ASCII-only, lower-case, trimmed text; null becomes the empty string."""
     one, several = fold_tables()
     expansions = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     expanded = F.when(
-        text.rlike("[" + "".join(several) + "]"),
+        text.rlike(_several_class()),
         F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)), ""),
     ).otherwise(text)
     ascii_only = F.regexp_replace(F.translate(expanded, "".join(one), "".join(one.values())), r"[^\x00-\x7F]+", "")
@@ -50,11 +62,15 @@ def tokens(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(r"\w\w+"), F.lit(0))
 
 
-def terms(norm: Column) -> Column:
-    """Tokens followed by the pairs of neighbouring tokens."""
-    words = tokens(norm)
+def with_terms(frame: DataFrame, norm: str, out: str = "terms") -> DataFrame:
+    """Add the tokens followed by the pairs of neighbouring tokens; the text is scanned once."""
+    words = F.col("_words")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.array_compact(pairs))
+    return (
+        frame.withColumn("_words", tokens(F.col(norm)))
+        .withColumn(out, F.concat(words, F.array_compact(pairs)))
+        .drop("_words")
+    )
 
 
 def slot_signals(norm: Column, patterns: Mapping[str, Sequence[str]] = SLOT_PATTERNS) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,23 +23,29 @@ def local_session(cores: str = "8", app: str = "charlascope", memory: str = "12g
     )
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the context at the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     A machine-local folder is made up only in local mode; on a cluster without the setting this fails early.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="charlascope-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="charlascope-")
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Store a frame reliably, so that later plans read it back instead of recomputing it."""
-    use_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Store a frame as a table in the shared folder and read it back, so that later plans start from the files.
+
+    The table outlives lost executors, and its size is known to the optimizer.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/charlascope-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
