@@ -43,12 +43,20 @@ def _several_class() -> str:
 def normalize_text(text: Column) -> Column:
     """Accent-free, ASCII-only, lower-case, trimmed text; null becomes the empty string."""
     one, several = fold_tables()
+    folded = F.translate(text, "".join(one), "".join(one.values()))
+    # Only the few characters still beyond ASCII decide whether the slower expansion is needed.
+    leftover = F.regexp_replace(folded, r"[\x00-\x7F]+", "")
     expansions = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    expanded = F.when(
-        text.rlike(_several_class()),
-        F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)), ""),
-    ).otherwise(text)
-    ascii_only = F.regexp_replace(F.translate(expanded, "".join(one), "".join(one.values())), r"[^\x00-\x7F]+", "")
+    expanded = F.array_join(
+        F.transform(
+            F.split(folded, ""),
+            lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(expansions, c), F.lit(""))),
+        ),
+        "",
+    )
+    ascii_only = F.when(leftover == "", folded).when(leftover.rlike(_several_class()), expanded).otherwise(
+        F.regexp_replace(folded, r"[^\x00-\x7F]+", "")
+    )
     return F.coalesce(F.regexp_replace(F.lower(ascii_only), _EDGE_SPACE, ""), F.lit(""))
 
 

@@ -13,6 +13,7 @@ from charlascope.functions.flows import training_flow
 from charlascope.functions.text import normalize_text
 from charlascope.operators.order import number_rows
 from charlascope.operators.turns import number_turns
+from charlascope.session import spread
 
 _KIND = "(conv_id*7 + turn*3 + length(text)) % 8"
 _LANGUAGE = "case {} % 4 when 0 then 'en' when 1 then 'es' when 2 then 'de' else 'fr' end"
@@ -118,7 +119,7 @@ def long_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training table of the retrieval queries."""
-    documents = derive(table(spark, sf_dir, "documents"), DOCUMENT_PHRASES)
+    documents = derive(spread(table(spark, sf_dir, "documents")), DOCUMENT_PHRASES)
     user_turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     lines = user_turns.select("conv_id", "turn", "text", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     phrases = documents.unionByName(derive(lines.filter("trim(line) <> ''"), USER_PHRASES))

@@ -49,3 +49,14 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/charlascope-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def work_partitions(spark: SparkSession) -> int:
+    """Tasks for stages whose work does not follow from their input bytes, which adaptive execution would merge."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan over all cores when its files give fewer splits than there are cores; larger ones stay as read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -70,10 +70,9 @@ def write_reports(report: DataFrame, folder: str, jsonl: bool = True, debug: boo
 
 
 def read_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """The case report as written by ``write_cases``."""
-    return spark.read.schema(REPORT_SCHEMA).csv(
-        f"{folder}/{CASES}", header=True, multiLine=True, quote='"', escape='"', nullValue="\x00", emptyValue=""
-    )
+    """The case report as written by ``write_cases``; the report has no nulls, so empty cells are empty texts."""
+    rows = spark.read.schema(REPORT_SCHEMA).csv(f"{folder}/{CASES}", header=True, multiLine=True, quote='"', escape='"')
+    return rows.na.fill("")
 
 
 def nested_rollup(report: DataFrame) -> DataFrame:
