@@ -397,6 +397,19 @@ from ({CHATS}) c""",
             "select intent, count(*) over (partition by intent) as hits,"
             " row_number() over (partition by intent order by row_id) as pos, row_id, md5(phrase) as phrase_md5 from phrases",
         ),
+        "vector_candidates": """
+with units as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+nearest as (
+  select q.vec_id as query_id, c.vec_id, c.label, round(list_cosine_similarity(q.v, c.v), 10) as sim
+  from units q cross join units c
+  qualify row_number() over (partition by q.vec_id order by sim desc, c.vec_id) <= 50),
+placed as (
+  select *, row_number() over (partition by query_id, label order by sim desc, vec_id) as place from nearest)
+select query_id, label, count(*) as hits,
+  round(0.65 * max(sim) + 0.25 * sum(case when place <= 5 then sim else 0.0 end) / least(5, count(*))
+    + 0.10 * ln(1 + count(*)), 4) as score
+from placed group by query_id, label""",
         "judge_prompt": _with(
             f"{RETRIEVAL},{_context(False)}",
             "select c.case_id, c.case_id as payload_case_id, c.flow_ref, c.last_valid_intent,"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlascope.operators import judge, metrics, retrieve, rollup, tfidf
+from charlascope.operators import judge, metrics, retrieve, rollup, tfidf, vectors
 from charlascope.operators.cases import no_match_cases
 from charlascope.operators.order import number_rows
 from charlascope.operators.report import case_report
@@ -242,6 +242,13 @@ def _on_report(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(judged_report(spark, sf_dir))
 
 
+def vector_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label scores of every embedding over its nearest embeddings, itself included."""
+    corpus = fixtures.table(spark, sf_dir, "embeddings")
+    asked = corpus.select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.vector_intents(vectors.nearest_vectors(asked, corpus))
+
+
 def registered() -> dict[str, Query]:
     by_flow, by_intent = rollup.BY_FLOW, rollup.BY_INTENT
     return {
@@ -261,6 +268,7 @@ def registered() -> dict[str, Query]:
         "candidate_intents": candidate_intents,
         "candidate_evidence": candidate_evidence,
         "intent_phrases": intent_phrases,
+        "vector_candidates": vector_candidates,
         "judge_prompt": judge_prompt,
         "judge_response_parse": judge_response_parse,
         "judge_join_defaults": judge_join_defaults,
