@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from charlascope.operators.retrieve import SIM_SCALE
-from charlascope.session import cut_lineage
+from charlascope.session import cut_lineage, work_partitions
 
 NEAREST = 50
 PIVOTS = 32
@@ -32,10 +32,15 @@ def nearest_vectors(
         for row in sample.orderBy(F.xxhash64("embedding")).limit(pivots).select(_unit(F.col("embedding")).alias("u")).collect()
     ]
     if not chosen:
-        return queries.join(corpus, F.lit(False)).select("query_id", "vec_id", "label", F.lit(0.0).alias("sim"))
-    size = len(chosen[0])
+        kind = lambda name: corpus.schema[name].dataType
+        return queries.limit(0).select(
+            "query_id",
+            F.lit(None).cast(kind("vec_id")).alias("vec_id"),
+            F.lit(None).cast(kind("label")).alias("label"),
+            F.lit(0.0).alias("sim"),
+        )
     centers = F.from_json(F.lit(json.dumps(chosen)), "array<array<double>>")
-    distances = lambda unit: F.transform(centers, lambda p: _distance(_dot_any(p, unit)))
+    distances = lambda unit: F.transform(centers, lambda p: _distance(_dot(p, unit)))
 
     placed = cut_lineage(
         corpus.filter(_length(F.col("embedding")) > 0)
@@ -81,13 +86,12 @@ def nearest_vectors(
     )
     parts = F.get(F.transform(F.filter(known, lambda c: c["cell"] == F.col("cell")), lambda c: c["parts"]), F.lit(0))
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
-    dot = F.lit(0.0)
-    for i in range(size):
-        dot = dot + F.get("q", F.lit(i)) * F.get("u", F.lit(i))
+    by_part = lambda side: side.repartition(work_partitions(side.sparkSession), "cell", "part")
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return (
-        asked.join(dealt, ["cell", "part"])
-        .select("query_id", "vec_id", "label", (F.floor(dot * SIM_SCALE + 0.5) / SIM_SCALE).alias("sim"))
+        by_part(asked)
+        .join(by_part(dealt), ["cell", "part"])
+        .select("query_id", "vec_id", "label", (F.floor(_dot(F.col("q"), F.col("u")) * SIM_SCALE + 0.5) / SIM_SCALE).alias("sim"))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .drop("rank")
@@ -114,7 +118,7 @@ def vector_intents(nearest: DataFrame) -> DataFrame:
     )
 
 
-def _dot_any(a: Column, b: Column) -> Column:
+def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
