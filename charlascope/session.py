@@ -41,12 +41,24 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="charlascope-")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one; ``drop_stored`` removes it."""
+    return f"{shared_folder(spark).rstrip('/')}/charlascope-{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove all tables that this application stored. Call it once the results built on them are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Store a frame as a table in the shared folder and read it back, so that later plans start from the files.
 
-    The table outlives lost executors, and its size is known to the optimizer.
+    The table outlives lost executors, its size is known to the optimizer, and it stays until ``drop_stored``.
     """
-    path = f"{shared_folder(frame.sparkSession)}/charlascope-{uuid.uuid4().hex}"
+    path = f"{run_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
