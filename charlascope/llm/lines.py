@@ -29,7 +29,6 @@ PACKED_WORDS = 30_000
 BROADCAST_DOCS = 500_000
 
 _LANES = 0x0001000100010001
-_FULL = (1 << 64) - 1
 
 
 def normalized(line: Column) -> Column:
@@ -49,7 +48,7 @@ def simhash(words: Column) -> Column:
 def _packed(hashes: Column) -> Column:
     """Sixteen counters, each of four bits of the hash in lanes of sixteen bits.
 
-    At the end a lane gets its distance to the half added, so that its top bit tells the majority.
+    At the end a lane gets its distance to the half added, so that its last bit but one tells the majority.
     """
     start = F.struct(*[F.lit(0).cast("long").alias(f"c{i}") for i in range(16)], F.lit(0).cast("long").alias("n"))
 
@@ -58,10 +57,10 @@ def _packed(hashes: Column) -> Column:
         return F.struct(*lanes, (held["n"] + 1).alias("n"))
 
     def majority(held: Column) -> Column:
-        rest = (F.lit(0x8000 - 1) - F.shiftright(held["n"], 1)) * F.lit(_LANES)
+        rest = (F.lit(0x4000 - 1) - F.shiftright(held["n"], 1)) * F.lit(_LANES)
         out = F.lit(0).cast("long")
         for i in range(16):
-            top = F.shiftrightunsigned(held[f"c{i}"] + rest, 15).bitwiseAND(F.lit(_LANES))
+            top = F.shiftrightunsigned(held[f"c{i}"] + rest, 14).bitwiseAND(F.lit(_LANES))
             out = out.bitwiseOR(F.shiftleft(top, i))
         return out
 
