@@ -6,7 +6,8 @@
 3. Index. Contexts that share a gram meet in one task. It builds the transform over blocks of contexts, keeps its runs with
    the text places at their two ends, compares the neighbours at run borders, and streams the matching statistics from
    these samples: inside a run a match is one byte shorter at each step. Every place where the statistics reach
-   ``length`` is marked. A context with copies enters twice.
+   ``length`` is marked. A context with copies enters once, and its copies count as a match of all of it. A gram with
+   one distinct context has nothing else to be compared with.
 4. Marks return to the documents, where the marked bytes are cut out.
 
 A gram with more than ``HOT_GRAM`` contexts is cut into finer grams: of the bytes that a window holds beside it, half lie to
@@ -136,7 +137,8 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class RunIndex:
     """Runs of the transform of some contexts, with the text places at both ends of every run."""
 
-    def __init__(self, contexts: list[bytes]):
+    def __init__(self, contexts: list[bytes], several: list[bool] | None = None):
+        self.several = np.array(several if several else [False] * len(contexts))
         sizes = np.array([len(c) + 1 for c in contexts], np.int64)
         self.ends = np.cumsum(sizes) - 1
         joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
@@ -167,13 +169,16 @@ class RunIndex:
         """For every place, the length of its longest match that starts elsewhere, as far as run borders tell.
 
         Both neighbours at a border are samples; from a sample the match goes on, one shorter at each place. Where the
-        statistics are exact up to this, a window that occurs twice always lies in the match of some sample.
+        statistics are exact up to this, a window that occurs twice always lies in the match of some sample. A context
+        that has copies stands for all of them, so its first place matches to its end.
         """
         i, j = self.last[:-1], self.first[1:]
         size = self.common(i, j)
         reach = np.arange(len(self.text), dtype=np.int64)
         np.maximum.at(reach, i, i + size)
         np.maximum.at(reach, j, j + size)
+        first = np.concatenate(([0], self.ends[:-1] + 1))
+        reach[first[self.several]] = self.ends[self.several]
         return np.maximum.accumulate(reach) - np.arange(len(self.text))
 
     def marked(self, length: int) -> list[list[tuple[int, int]]]:
@@ -312,6 +317,10 @@ def _indexed(length: int, block_bytes: int):
             size = 0
             for row in rows_of(batches, "gram", "digest", "several", "shift", "context", "low", "high"):
                 if group and group[0][0] != row[0]:
+                    if len({(g[1], g[3]) for g in group}) == 1:
+                        yield from _alone(group[0])
+                        group = [row]
+                        continue
                     extra = sum(len(g[4]) for g in group)
                     if block and size + extra > block_bytes:
                         yield from _block_spans(block, length)
@@ -325,6 +334,13 @@ def _indexed(length: int, block_bytes: int):
     return task
 
 
+def _alone(row: tuple) -> Iterator[tuple]:
+    """The only context of a gram: repeated as a whole or not at all."""
+    _, digest, several, shift, context, *_ = row
+    if several:
+        yield digest, shift, shift + len(context)
+
+
 def _block_spans(block: list[tuple], length: int) -> Iterator[tuple]:
     """Spans of the contexts of a block, each once however many grams led here; whole windows have an index apart."""
     for windows in (False, True):
@@ -332,8 +348,7 @@ def _block_spans(block: list[tuple], length: int) -> Iterator[tuple]:
         rows = list(chosen.values())
         if not rows:
             continue
-        twice = [r for r in rows if r[2]]
-        spans = RunIndex([r[4] for r in rows + twice]).marked(length)
+        spans = RunIndex([r[4] for r in rows], [r[2] for r in rows]).marked(length)
         for (_, digest, _, shift, *_), found in zip(rows, spans):
             for a, b in found:
                 yield digest, a + shift, b + shift
