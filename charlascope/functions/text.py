@@ -61,8 +61,8 @@ def normalize_text(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of ASCII white space, not only blanks."""
-    return F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
+    """Trim every kind of white space, not only blanks."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def tokens(norm: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from charlascope.settings import NESTED_PHRASES, REPORT_COLUMNS
+from charlascope.settings import REPORT_COLUMNS
 
 REPORT_SCHEMA = ", ".join(
     f"{name} {'double' if name == 'confidence' else 'boolean' if name == 'review_flag' else 'string'}"
@@ -13,14 +13,11 @@ REPORT_SCHEMA = ", ".join(
 )
 
 
-def with_training_phrases(candidates: DataFrame, phrases: DataFrame, phrase_rows: int) -> DataFrame:
-    """Give each candidate the whole phrase list of its intent, while the training table is small.
+def with_training_phrases(candidates: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Give each candidate the whole phrase list of its intent, at every size of the training table.
 
-    Repeating a long list in every case multiplies it by the number of cases, so above NESTED_PHRASES rows the lists
-    stay in their own table, keyed by intent.
+    A list is repeated in every case that names its intent; ``intent_phrases`` gives the lists once, keyed by intent.
     """
-    if phrase_rows > NESTED_PHRASES:
-        return candidates
     lists = (
         phrases.groupBy("intent")
         .agg(F.array_sort(F.collect_list(F.struct("row_id", "phrase"))).alias("l"))

@@ -53,7 +53,3 @@ REVIEW_SAMPLE = 50
 HOT_ROWS = 1_000_000
 # Rows of the phrase index that may be broadcast (about 100 bytes each once hashed).
 BROADCAST_ROWS = 2_000_000
-# Cases up to which the roll-up is also written as one nested document.
-NESTED_CASES = 100_000
-# Training phrases up to which each candidate carries its intent's whole phrase list.
-NESTED_PHRASES = 20_000

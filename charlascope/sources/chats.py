@@ -45,6 +45,7 @@ def load_turns(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
     return build_turns(number_turns(accepted, ["ord"]))
 
 
-def preview_chats(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:
-    """The first rows of a chat file as written."""
-    return scan_csv(spark, path).limit(rows)
+def preview_chats(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """A chat file as written, or its first rows if the caller asks for so many."""
+    scan = scan_csv(spark, path)
+    return scan if rows is None else scan.limit(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from charlascope.operators import rollup
 from charlascope.operators.report import REPORT_SCHEMA
-from charlascope.settings import NESTED_CASES, REPORT_COLUMNS
+from charlascope.settings import REPORT_COLUMNS
 
 CASES = "analisis_no_match.csv"
 AUDIT = "auditoria.jsonl"
@@ -18,7 +18,15 @@ ROLLUP = "informe_general_mejora"
 def write_cases(report: DataFrame, folder: str) -> None:
     """One CSV row per case; an empty report still writes the header."""
     rows = report.orderBy("ord").select(*REPORT_COLUMNS)
-    rows.write.mode("overwrite").csv(f"{folder}/{CASES}", header=True, quote='"', escape='"', emptyValue="")
+    rows.write.mode("overwrite").csv(
+        f"{folder}/{CASES}",
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_audit(report: DataFrame, folder: str) -> None:
@@ -28,13 +36,13 @@ def write_audit(report: DataFrame, folder: str) -> None:
 
 
 def write_debug(report: DataFrame, folder: str) -> None:
-    """The same objects keyed by ``debug_id`` (a file-safe case id), one folder per date instead of a file per case."""
+    """The same objects keyed by ``debug_id`` (a file-safe case id), as one dataset instead of a file per case."""
     rows = report.select(F.translate("case_id", ":", "_").alias("debug_id"), *REPORT_COLUMNS)
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("fecha").json(f"{folder}/{DEBUG}")
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{DEBUG}")
 
 
-def write_rollups(report: DataFrame, folder: str, nested_cases: int = NESTED_CASES) -> None:
-    """Roll-up tables as JSON folders, and one nested document while the report is small."""
+def write_rollups(report: DataFrame, folder: str, document: bool = False) -> None:
+    """Roll-up tables as JSON folders; with ``document`` also all of them nested in one JSON value, made in one task."""
     by_flow, by_intent = rollup.BY_FLOW, rollup.BY_INTENT
     tables = {
         "total": rollup.total_cases(report),
@@ -54,11 +62,18 @@ def write_rollups(report: DataFrame, folder: str, nested_cases: int = NESTED_CAS
     }
     for name, table in tables.items():
         table.write.mode("overwrite").json(f"{folder}/{ROLLUP}/{name}")
-    if report.limit(nested_cases + 1).count() <= nested_cases:
+    if document:
         nested_rollup(report).write.mode("overwrite").text(f"{folder}/{ROLLUP}/document")
 
 
-def write_reports(report: DataFrame, folder: str, jsonl: bool = True, debug: bool = False, rollups: bool = True) -> None:
+def write_reports(
+    report: DataFrame,
+    folder: str,
+    jsonl: bool = True,
+    debug: bool = False,
+    rollups: bool = True,
+    document: bool = False,
+) -> None:
     """All sinks; without cases the roll-ups are left out. ``report`` is read several times: pass a stored one."""
     write_cases(report, folder)
     if jsonl:
@@ -66,7 +81,7 @@ def write_reports(report: DataFrame, folder: str, jsonl: bool = True, debug: boo
     if debug:
         write_debug(report, folder)
     if rollups and not report.isEmpty():
-        write_rollups(report, folder)
+        write_rollups(report, folder, document)
 
 
 def read_cases(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +16,23 @@ from charlascope.sources.csv_scan import scan_csv_in_order
 DEFAULT_LANGUAGE = "es"
 
 
-def training_header(columns: Sequence[str]) -> dict[str, str]:
-    """Which columns hold intent, language and phrase, by their header text."""
-    found: dict[str, str] = {}
-    for name in columns:
-        plain = name.lower().strip()
-        role = None
-        if "intent" in plain and "display" in plain:
-            role = "intent"
-        elif plain == "language":
-            role = "language"
-        elif "phrase" in plain:
-            role = "phrase"
-        if role and role not in found.values():
-            found[name] = role
-    if "intent" not in found.values() and "intent" not in columns and "Intent" in columns:
-        found["Intent"] = "intent"
-    return found
+# ---- Fixed values: which headers hold which column, in lower case ----
+HEADERS = {
+    "intent": lambda header: "intent" in header and "display" in header,
+    "language": lambda header: header == "language",
+    "phrase": lambda header: "phrase" in header,
+}
+
+
+def training_header(columns: Sequence[str], given: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Columns of the file by the role they play: the caller's own mapping first, then the first header that fits."""
+    chosen = {role: name for name, role in (given or {}).items()}
+    for role, fits in HEADERS.items():
+        free = (c for c in columns if c not in chosen.values() and fits(c.lower().strip()))
+        plain = (c for c in ("Intent",) if role == "intent" and c in columns and "intent" not in columns)
+        if role not in chosen and (name := next(chain(free, plain), None)):
+            chosen[role] = name
+    return {name: role for role, name in chosen.items()}
 
 
 def clean_training(rows: DataFrame, order: str = "ord") -> DataFrame:

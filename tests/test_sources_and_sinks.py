@@ -106,14 +106,16 @@ def test_report_round_trip_and_rollups(spark, tmp_path):
     )
     responses = spark.createDataFrame([("a:4", 1, body)], "case_id string, attempt int, response string")
     out = str(tmp_path / "out")
-    report = run(spark, chats, training, out, responses=responses, debug=True)
+    report = run(spark, chats, training, out, responses=responses, debug=True, document=True)
     back = {r.case_id: r.asDict() for r in read_cases(spark, out).collect()}
     want = {r.case_id: {k: v for k, v in r.asDict().items() if k != "ord"} for r in report.collect()}
     assert back == want and set(back) == {"a:4", "b:1"}
     assert back["a:4"]["mensaje_no_match"] == "Ver SALDO"
     audit = [json.loads(line) for line in lines(f"{out}/{AUDIT}")]
     assert [list(a) for a in audit] == [list(REPORT_COLUMNS)] * 2
-    assert {json.loads(line)["debug_id"] for line in lines(f"{out}/{DEBUG}")} == {"a_4", "b_1"}
+    debug = [json.loads(line) for line in lines(f"{out}/{DEBUG}")]
+    assert {d["debug_id"] for d in debug} == {"a_4", "b_1"}
+    assert all(set(REPORT_COLUMNS) < set(d) for d in debug)
     document = json.loads(lines(f"{out}/{ROLLUP}/document")[0])
     pagos = document["por_flow"]["Pagos"]
     assert document["total_casos_no_match"] == 2
