@@ -1,9 +1,10 @@
 """Near-equal lines, found by SimHash blocks and verified by edit similarity. Built-in functions only.
 
 Lines are normalised (lower case, runs of letters and digits joined by one space), equal ones are one line from the start.
-A line's SimHash counts the bits of its words' hashes. Two hashes at three bits or fewer agree in at least two of five
-blocks, so two blocks at a time are the join key. A link needs ``MAX_BITS`` bits or fewer and an edit similarity of
-``SIMILARITY`` or more.
+A line's SimHash counts, by one aggregation, the bits of the hashes of each word with the next one (the last alone): single
+words would not do, since long lines of one language agree in them without being alike. Two hashes at three bits or fewer agree
+in at least two of five blocks, so two blocks at a time are the join key. A link needs ``MAX_BITS`` bits or fewer and an
+edit similarity of ``SIMILARITY`` or more.
 
 Crowded keys do not give all their pairs. Every member is first compared with the key's smallest hash; the links found
 merge most of a crowd, and only members of different groups are then compared with each other. No group that the links
@@ -23,12 +24,13 @@ from charlascope.session import cut_lineage
 MAX_BITS = 3
 BLOCKS = 5
 SIMILARITY = 0.8
-# Words up to which the counters of four bits share a 64-bit number.
-PACKED_WORDS = 30_000
+# Words of a line whose counters of four bits share a 64-bit number; longer lines are counted again with wider ones.
+PART_WORDS = 30_000
+# Edits tried first: a narrow band proves most links of long lines without the full table.
+NARROW_EDITS = (8, 40, 200, 1000)
 # Documents whose line numbers may be broadcast to the scan of the texts: about 100 bytes each; more are joined by shuffle.
 BROADCAST_DOCS = 500_000
 
-_LANES = 0x0001000100010001
 
 
 def normalized(line: Column) -> Column:
@@ -39,44 +41,6 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def simhash(words: Column) -> Column:
-    """Bits set in more than half of the words' hashes."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) <= PACKED_WORDS, _packed(hashes)).otherwise(_bit_by_bit(hashes))
-
-
-def _packed(hashes: Column) -> Column:
-    """Sixteen counters, each of four bits of the hash in lanes of sixteen bits.
-
-    At the end a lane gets its distance to the half added, so that its last bit but one tells the majority.
-    """
-    start = F.struct(*[F.lit(0).cast("long").alias(f"c{i}") for i in range(16)], F.lit(0).cast("long").alias("n"))
-
-    def add(held: Column, h: Column) -> Column:
-        lanes = [(held[f"c{i}"] + F.shiftright(h, i).bitwiseAND(F.lit(_LANES))).alias(f"c{i}") for i in range(16)]
-        return F.struct(*lanes, (held["n"] + 1).alias("n"))
-
-    def majority(held: Column) -> Column:
-        rest = (F.lit(0x4000 - 1) - F.shiftright(held["n"], 1)) * F.lit(_LANES)
-        out = F.lit(0).cast("long")
-        for i in range(16):
-            top = F.shiftrightunsigned(held[f"c{i}"] + rest, 14).bitwiseAND(F.lit(_LANES))
-            out = out.bitwiseOR(F.shiftleft(top, i))
-        return out
-
-    return F.aggregate(hashes, start, add, majority)
-
-
-def _bit_by_bit(hashes: Column) -> Column:
-    """The same for lines of any length, one pass for each bit."""
-    ones = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)))
-    out = F.lit(0).cast("long")
-    for b in range(64):
-        bit = F.when(ones(b) * 2 > F.size(hashes), F.lit(_signed(1 << b))).otherwise(F.lit(0).cast("long"))
-        out = out.bitwiseOR(bit)
-    return out
-
-
 def block_masks() -> list[int]:
     parts = [sum(1 << i for i in range(p, 64, BLOCKS)) for p in range(BLOCKS)]
     return [_signed(a | b) for a, b in combinations(parts, BLOCKS - MAX_BITS)]
@@ -92,24 +56,64 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, line_no, node (a digest of the normalised line) and hash, for lines with a letter or digit."""
-    lines = _documents(docs).select("uid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def _counters(width: int) -> list[Column]:
+    """Sums of the bits of ``h``, each in ``width`` bits of a 64-bit number: bits i, i + width, ... in ``c{i}``."""
+    lanes = sum(1 << b for b in range(0, 64, width))
+    return [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(lanes))).alias(f"c{i}") for i in range(width)]
+
+
+def _majority(width: int) -> Column:
+    """Bits set in more than half of ``n`` hashes.
+
+    Each counter gets its distance to the half of n added, so that its last bit but one tells the majority.
+    """
+    lanes = sum(1 << b for b in range(0, 64, width))
+    rest = (F.lit((1 << (width - 2)) - 1) - F.shiftright("n", 1)) * F.lit(lanes)
+    out = F.lit(0).cast("long")
+    for i in range(width):
+        top = F.shiftrightunsigned(F.col(f"c{i}") + rest, width - 2).bitwiseAND(F.lit(lanes))
+        out = out.bitwiseOR(F.shiftleft(top, i))
+    return out
+
+
+def _counted(documents: DataFrame, width: int, part_words: int) -> DataFrame:
+    """uid, doc_id, line_no, node, part and the hash of that part of a line's words."""
+    lines = documents.select("uid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     place = ("uid", "doc_id", "line_no")
     norm = lines.select(*place, F.explode(F.filter(F.array(normalized(F.col("line"))), lambda x: x != "")).alias("norm"))
-    words = norm.select(*place, F.unhex(F.md5("norm")).alias("node"), _once(F.split("norm", " ")).alias("words"))
-    return words.select(*place, "node", simhash(F.col("words")).alias("hash"))
+    keyed = norm.select(*place, F.unhex(F.md5("norm")).alias("node"), "norm")
+    split = keyed.select(*place, "node", F.split("norm", " ").alias("words"))
+    words = split.select(*place, "node", "words", F.posexplode("words").alias("pos", "word"))
+    part = F.floor(F.col("pos") / part_words).cast("int").alias("part")
+    hashed = words.select(*place, "node", part, F.xxhash64("word", F.get("words", F.col("pos") + 1)).alias("h"))
+    counted = hashed.groupBy(*place, "node", "part").agg(F.count(F.lit(1)).alias("n"), *_counters(width))
+    return counted.select(*place, "node", "part", _majority(width).alias("hash"))
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, line_no, node (a digest of the normalised line) and hash, for lines with a letter or digit.
+
+    The hash is an aggregation over words: partial sums leave one row per line before the shuffle. Documents with a line
+    too long for narrow counters are counted again with counters of 32 bits. Repeated rows of a document are one row here.
+    """
+    rows = cut_lineage(_counted(_documents(docs), 16, PART_WORDS))
+    again = rows.where("part > 0").select("uid").distinct()
+    if not again.isEmpty():
+        wide = _counted(_documents(docs).join(again, "uid", "left_semi"), 32, 1 << 30)
+        rows = rows.join(again, "uid", "left_anti").unionByName(wide)
+    return rows.drop("part")
 
 
 def _crowds(lines: DataFrame) -> DataFrame:
-    """(kind, key, hash, least): hashes that share two blocks with another one, and the least hash there."""
-    keys = F.array(
-        *[F.struct(F.lit(n).alias("kind"), F.col("hash").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(block_masks())]
-    )
-    keyed = lines.select("hash").distinct().select("hash", F.explode(keys).alias("k")).select("k.kind", "k.key", "hash")
-    together = Window.partitionBy("kind", "key")
+    """(key, hash, least): hashes that share two blocks with another one, and the least hash there.
+
+    The bits outside the blocks are set in the key. Should two pairs of blocks give one key, hashes are compared in vain.
+    """
+    keys = F.array(*[F.col("hash").bitwiseOR(F.lit(~m)) for m in block_masks()])
+    keyed = lines.select("hash").distinct().select("hash", F.explode(F.array_distinct(keys)).alias("key"))
+    together = Window.partitionBy("key")
     ends = keyed.withColumn("least", F.min("hash").over(together)).withColumn("most", F.max("hash").over(together))
-    return ends.where("least < most").drop("most")
+    return ends.where("least < most").select("key", "hash", "least")
 
 
 def _bits(a: str, b: str) -> Column:
@@ -123,7 +127,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     size = "greatest(length(norm_a), length(norm_b))"
     allowed = f"cast(floor({1 - similarity:.6f} * {size} + 0.000001) as int)"
     short = f"abs(length(norm_a) - length(norm_b)) <= {allowed}"
-    near = f"levenshtein(norm_a, norm_b, {allowed}) between 0 and {allowed}"
+    narrow = " or ".join(f"({n} < {allowed} and levenshtein(norm_a, norm_b, {n}) >= 0)" for n in NARROW_EDITS)
+    near = f"{narrow} or levenshtein(norm_a, norm_b, {allowed}) >= 0"
     return pairs.join(left, "a").join(right, "b").where(short).where(near).select("a", "b")
 
 
@@ -138,12 +143,11 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) ->
     """(node, root) of lines that links join with others; ``lines`` are the stored rows of ``docs``."""
     crowds = cut_lineage(_crowds(lines))
     near = crowds.alias("x").join(
-        crowds.select("kind", "key", F.col("hash").alias("other")).alias("y"),
-        (F.col("x.kind") == F.col("y.kind")) & (F.col("x.key") == F.col("y.key"))
-        & (F.col("hash") != F.col("other")) & (_bits("hash", "other") <= MAX_BITS),
+        crowds.select("key", F.col("hash").alias("other")).alias("y"),
+        (F.col("x.key") == F.col("y.key")) & (F.col("hash") != F.col("other")) & (_bits("hash", "other") <= MAX_BITS),
         "left_semi",
-    )
-    crowds = cut_lineage(near.select("kind", "key", "hash", "least"))
+    )
+    crowds = cut_lineage(near.select("key", "hash", "least"))
     by_hash = lines.select("hash", "node", "uid", "line_no")
     twins = by_hash.groupBy("hash").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     twins = twins.where("first < last").select("hash")
@@ -165,12 +169,12 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) ->
 
 def _across(crowds: DataFrame, grouped: DataFrame) -> DataFrame:
     """Pairs of near nodes that the first links left in different groups."""
-    keyed = crowds.select("kind", "key", "hash")
-    same = grouped.select("hash").distinct().select(F.lit(-1).alias("kind"), F.col("hash").alias("key"), "hash")
+    keyed = crowds.select("key", "hash")
+    same = grouped.select("hash").distinct().select(F.col("hash").alias("key"), "hash")
     keyed = keyed.unionByName(same).join(grouped, "hash")
-    x = keyed.select("kind", "key", *[F.col(c).alias(f"{c}_a") for c in ("hash", "node", "part")])
-    y = keyed.select("kind", "key", *[F.col(c).alias(f"{c}_b") for c in ("hash", "node", "part")])
-    apart = x.join(y, ["kind", "key"]).where("part_a < part_b").where(_bits("hash_a", "hash_b") <= MAX_BITS)
+    x = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("hash", "node", "part")])
+    y = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("hash", "node", "part")])
+    apart = x.join(y, "key").where("part_a < part_b").where(_bits("hash_a", "hash_b") <= MAX_BITS)
     return apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -187,7 +191,7 @@ def _norms(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(uid, gone): numbers of the lines to drop. Of a group the occurrence with the smallest doc_id and line stays."""
-    lines = cut_lineage(line_rows(docs))
+    lines = line_rows(docs)
     roots = groups(docs, lines, similarity)
     placed = lines.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.select("root", F.struct("doc_id", "uid", "line_no").alias("place"))

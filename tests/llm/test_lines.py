@@ -17,7 +17,9 @@ def norm(line):
 
 def simhash(text):
     words = text.split(" ")
-    hashes = np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words], np.uint64)
+    first = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    pairs = [xxhash.xxh64_intdigest(w.encode(), seed=h) for h, w in zip(first, words[1:])] + first[-1:]
+    hashes = np.array(pairs, np.uint64)
     return sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(words))
 
 
