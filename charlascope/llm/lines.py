@@ -13,7 +13,9 @@ of all pairs would form is lost.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,15 +28,23 @@ BLOCKS = 5
 SIMILARITY = 0.8
 # Words of a line whose counters of four bits share a 64-bit number; longer lines are counted again with wider ones.
 PART_WORDS = 30_000
+# Neighbouring words that one row of the count holds; divides PART_WORDS.
+STEP_WORDS = 8
 # Edits tried first: a narrow band proves most links of long lines without the full table.
 NARROW_EDITS = (8, 40, 200, 1000)
 # Documents whose line numbers may be broadcast to the scan of the texts: about 100 bytes each; more are joined by shuffle.
 BROADCAST_DOCS = 500_000
 
+_BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def normalized(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), _BETWEEN, " "))
+
+
+def _words(line: Column) -> Column:
+    """The words of the normalised line."""
+    return F.array_remove(F.split(F.lower(line), _BETWEEN, -1), "")
 
 
 def _signed(value: int) -> int:
@@ -57,9 +67,13 @@ def _once(value: Column) -> Column:
 
 
 def _counters(width: int) -> list[Column]:
-    """Sums of the bits of ``h``, each in ``width`` bits of a 64-bit number: bits i, i + width, ... in ``c{i}``."""
+    """Sums of the bits of ``h0``, ``h1``, ..., each in ``width`` bits of a 64-bit number: bits i, i + width, ... in ``c{i}``."""
     lanes = sum(1 << b for b in range(0, 64, width))
-    return [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(lanes))).alias(f"c{i}") for i in range(width)]
+
+    def bits(i: int) -> Column:
+        return reduce(add, [F.shiftright(f"h{k}", i).bitwiseAND(F.lit(lanes)) for k in range(STEP_WORDS)])
+
+    return [F.sum(bits(i)).alias(f"c{i}") for i in range(width)]
 
 
 def _majority(width: int) -> Column:
@@ -80,14 +94,20 @@ def _counted(documents: DataFrame, width: int, part_words: int) -> DataFrame:
     """uid, doc_id, line_no, node, part and the hash of that part of a line's words."""
     lines = documents.select("uid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     place = ("uid", "doc_id", "line_no")
-    norm = lines.select(*place, F.explode(F.filter(F.array(normalized(F.col("line"))), lambda x: x != "")).alias("norm"))
-    keyed = norm.select(*place, F.unhex(F.md5("norm")).alias("node"), "norm")
-    split = keyed.select(*place, "node", F.split("norm", " ").alias("words"))
-    words = split.select(*place, "node", "words", F.posexplode("words").alias("pos", "word"))
+    split = lines.select(*place, _once(_words(F.col("line"))).alias("words")).where(F.size("words") > 0)
+    keyed = split.select(*place, "words", _once(F.md5(F.array_join("words", " "))).alias("digest"))
+    halves = [F.conv(F.substr("digest", F.lit(at), F.lit(16)), 16, -10).cast("long") for at in (1, 17)]
+    keyed = keyed.select(*place, "words", F.size("words").alias("size"), F.array(*halves).alias("node"))
+    steps = keyed.select(*place, F.col("node")[0].alias("n0"), F.col("node")[1].alias("n1"), "words", "size",
+                         F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(STEP_WORDS))).alias("pos"))
     part = F.floor(F.col("pos") / part_words).cast("int").alias("part")
-    hashed = words.select(*place, "node", part, F.xxhash64("word", F.get("words", F.col("pos") + 1)).alias("h"))
-    counted = hashed.groupBy(*place, "node", "part").agg(F.count(F.lit(1)).alias("n"), *_counters(width))
-    return counted.select(*place, "node", "part", _majority(width).alias("hash"))
+    pairs = [F.xxhash64(F.get("words", F.col("pos") + k), F.get("words", F.col("pos") + k + 1)) for k in range(STEP_WORDS)]
+    hashes = [F.when(F.col("pos") + k < F.col("size"), h).otherwise(F.lit(0)).alias(f"h{k}") for k, h in enumerate(pairs)]
+    here = F.least(F.lit(STEP_WORDS), F.col("size") - F.col("pos")).alias("here")
+    hashed = steps.select(*place, "n0", "n1", part, here, *hashes)
+    counted = hashed.groupBy(*place, "n0", "n1", "part").agg(F.sum("here").alias("n"), *_counters(width))
+    node = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("n0", "n1")])).alias("node")
+    return counted.select(*place, node, "part", _majority(width).alias("hash"))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
