@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from charlascope.llm.base import batched, rows_of
 from charlascope.llm.components import components
+from charlascope.llm.shingles import near_copies
 from charlascope.session import cut_lineage
 
 SEED = 42
@@ -248,13 +249,16 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each group of near copies: the row with the smallest doc_id, rows kept with all their columns.
+    """One document of each group of texts whose shingle sets have a Jaccard similarity of 0.8 or more, all columns kept.
 
-    Rows that share their doc_id with a kept one are ordered by text, and the first stays. Rows without an id are kept:
-    they cannot be told from each other.
+    The row with the smallest doc_id stays. Rows that share their doc_id with a kept one are ordered by text, and the
+    first stays. Rows without an id are kept: they cannot be told from each other.
     """
-    groups = near_duplicates(docs, words).where("doc_id = component_id").select("doc_id").distinct()
+    stored = cut_lineage(docs.withColumn("row", F.monotonically_increasing_id()))
+    placed = cut_lineage(stored.select("row", "doc_id").join(near_copies(stored, words), "row"))
+    first = placed.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    groups = first.where("doc_id is not null").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    kept = docs.join(groups, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order))
-    unnamed = docs.where("doc_id is null")
-    return kept.where("__rank = 1").select(*docs.columns).unionByName(unnamed)
+    kept = stored.join(groups, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order))
+    unnamed = stored.where("doc_id is null")
+    return kept.where("__rank = 1").select(*docs.columns).unionByName(unnamed.select(*docs.columns))

@@ -1,0 +1,65 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from charlascope.llm import shingles, simhash
+from tests.llm.test_simhash import brute_components
+
+DOCS = "doc_id long, text string, fp int, a string"
+
+
+def shingle_texts(text, n=5):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def alike(a, b):
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def corpus():
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, texts = say(30), []
+    for n in (3, 6, 12, 40, 100, 100, 300):
+        base = say(n)
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randrange(1 + max(1, n // 25))):
+                words[rng.randrange(n)] = f"n{rng.randrange(10**6)}"
+            words = words[: n - rng.randrange(1 + n // 8)]
+            texts.append(rng.choice([" ", " \n"]).join(words))
+    texts += [" ".join(common + say(rng.randrange(12))) for _ in range(40)]
+    texts += [" ".join(rng.choice("ab Ünd cat".split()) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rng.shuffle(texts)
+    return texts + [None, "", " \t\n", "one", "One", "one two", texts[3], texts[3]]
+
+
+@pytest.mark.parametrize("sample_of", [1, 16])
+def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch, sample_of):
+    monkeypatch.setattr(shingles, "SAMPLE_OF", sample_of)
+    texts = corpus()
+    sets = [shingle_texts(t) for t in texts]
+    root = brute_components(range(len(texts)), lambda a, b: sets[a] == sets[b] or alike(sets[a], sets[b]))
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], DOCS)
+    kept = {r["doc_id"]: r["text"] for r in simhash.keep_one(frame).collect()}
+    assert kept == {i: t for i, t in enumerate(texts) if root[i] == i}
+
+
+def test_one_changed_word_of_a_hundred_is_a_near_copy(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(2, " ".join(words), 1, "x"), (1, " ".join([*words[:50], "other", *words[51:]]), 1, "y")]
+    assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()] == [1]
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(1)
+    counted = np.sort(rng.choice(2000, 300, replace=False))
+    counts = rng.integers(2, 9, 300)
+    for n in range(1, 120):
+        a = np.unique(rng.integers(0, 2000, n))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.93], rng.integers(0, 2000, n // 20))))
+        if len(b) and alike(set(a), set(b)):
+            assert np.intersect1d(shingles.prefix(a, counted, counts), shingles.prefix(b, counted, counts)).size
