@@ -1,22 +1,26 @@
 """Benchmark passages in a corpus, found with a generalised suffix automaton over the words of the test items.
 
 The automaton is built from a bounded block of items and streamed over each document's words: the longest match that ends
-at each word gives every window of ``window`` words that some item holds. A benchmark larger than a block is handled block
-by block, one pass over the documents each, and the passes are merged by document. Documents are never shuffled for the
-first block.
+at each word gives every window of ``window`` words that some item holds. Tasks deal the items into blocks, and each worker
+builds the automaton of one block at a time. A benchmark larger than a block is handled block by block, one pass over the
+documents each; the documents are stored with a row number first, and the passes are merged by it. With one block no
+document is shuffled or stored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from charlascope.llm.base import batched, rows_of
+from charlascope.session import cut_lineage
 
 WINDOW = 10
 # Item words in one automaton: about 100 MB in a Python worker.
@@ -161,31 +165,67 @@ def _slices(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-HIT_COLUMNS = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+HIT_COLUMNS = "row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _HIT_SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))]
+    [
+        ("row", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("n_words", pa.int64()),
+        ("spans", _SPANS),
+        ("items", pa.list_(pa.string())),
+    ]
 )
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("item_id", pa.string()), ("text", pa.binary())])
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
-    """Items in blocks of bounded size, one block at a time on the driver."""
-    block, size = [], 0
-    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        text = (row["text"] or "").encode()
-        words = len(words_of(text))
-        if block and size + words > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], text))
-        size += words
-    yield block
+def _dealt(items: DataFrame, block_words: int) -> DataFrame:
+    """Items with the number of their block, dealt by tasks of some ten blocks each."""
+
+    def task(batches):
+        block, size = TaskContext.get().partitionId() << 32, 0
+
+        def rows():
+            nonlocal block, size
+            for item_id, text in rows_of(batches, "item_id", "text:raw"):
+                words = len(words_of(text or b""))
+                if size and size + words > block_words:
+                    block, size = block + 1, 0
+                size += words
+                yield block, item_id, text or b""
+
+        yield from batched(rows(), _BLOCK_SCHEMA, 1024)
+
+    held = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    n_bytes = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    few = held.coalesce(1 + n_bytes // (64 * block_words))
+    return few.mapInArrow(task, "block long, item_id string, text binary")
+
+
+class Block:
+    """Items of one block as a broadcast; the worker builds their automaton and holds no other one."""
+
+    held: tuple[str, ItemAutomaton] | None = None
+
+    def __init__(self, items, window: int):
+        self.items, self.window, self.name = items, window, uuid.uuid4().hex
+
+    def automaton(self) -> ItemAutomaton:
+        if Block.held is None or Block.held[0] != self.name:
+            Block.held = None
+            Block.held = self.name, ItemAutomaton(self.items.value, self.window)
+        return Block.held[1]
 
 
-def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """One broadcast automaton for each block of items; each block's size is bounded by ``block_words``."""
+def blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Block]:
+    """The blocks of the items, at least one. The driver hands on the texts of one block at a time."""
     context = items.sparkSession.sparkContext
-    return [context.broadcast(ItemAutomaton(block, window)) for block in item_blocks(items, block_words)]
+    stored = cut_lineage(_dealt(items, block_words))
+    out = []
+    for (number,) in stored.select("block").distinct().orderBy("block").collect():
+        rows = stored.where(F.col("block") == number).select("item_id", "text").collect()
+        out.append(Block(context.broadcast([(r["item_id"], bytes(r["text"])) for r in rows]), window))
+    return out or [Block(context.broadcast([]), window)]
 
 
 def find_windows(
@@ -194,19 +234,26 @@ def find_windows(
     """One row per document: doc_id, n_words, spans of words inside item windows, items whose windows occur.
 
     Null and empty texts have no words; null and empty items no windows. An item without an id marks words but is not
-    listed. Repeated rows of one doc_id give a row each while the items fit one block; beyond that doc_id must be a key.
-    Other columns are ignored. Without items every document is clean.
+    listed. Repeated rows and rows without an id give a row each. Other columns are ignored. Without items every document
+    is clean.
     """
-    passes = [_pass(docs, automaton) for automaton in automata(items, window, block_words)]
-    if len(passes) == 1:
-        return passes[0]
-    merged = passes[0]
-    for more in passes[1:]:
-        merged = merged.unionByName(more)
-    grouped = merged.groupBy("doc_id").agg(
+    held = blocks(items, window, block_words)
+    rows = docs.select("doc_id", "text")
+    if len(held) == 1:
+        return _pass(rows.withColumn("row", F.lit(0).cast("long")), held[0]).drop("row")
+    return _all_passes(cut_lineage(rows.withColumn("row", F.monotonically_increasing_id())), held).drop("row")
+
+
+def _all_passes(rows: DataFrame, held: list[Block]) -> DataFrame:
+    """The passes over stored rows with a key ``row``, merged by it; later passes give only rows with hits."""
+    merged = _pass(rows, held[0])
+    for block in held[1:]:
+        merged = merged.unionByName(_pass(rows, block, hits_only=True))
+    grouped = merged.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     return grouped.withColumn("spans", _merged(F.col("spans")))
 
@@ -225,19 +272,19 @@ def _merged(spans):
     return F.aggregate(spans, F.array().cast("array<struct<start:long,end:long>>"), step)
 
 
-def _pass(docs: DataFrame, automaton) -> DataFrame:
+def _pass(rows: DataFrame, block: Block, hits_only: bool = False) -> DataFrame:
     def task(batches):
-        found = _found(rows_of(batches, "doc_id", "text:raw"), automaton.value)
-        yield from batched(found, _HIT_SCHEMA, 2048)
+        found = _found(rows_of(batches, "row", "doc_id", "text:raw"), block.automaton())
+        yield from batched((f for f in found if f[3] or not hits_only), _HIT_SCHEMA, 2048)
 
-    return docs.select("doc_id", "text").mapInArrow(task, HIT_COLUMNS)
+    return rows.select("row", "doc_id", "text").mapInArrow(task, HIT_COLUMNS)
 
 
 def _found(rows: Iterator[tuple], automaton: ItemAutomaton) -> Iterator[tuple]:
-    for doc_id, text in rows:
+    for row, doc_id, text in rows:
         ids = automaton.ids(text or b"")
         spans, items = automaton.hits(ids)
-        yield doc_id, len(ids), [{"start": a, "end": b} for a, b in spans], sorted(items)
+        yield row, doc_id, len(ids), [{"start": a, "end": b} for a, b in spans], sorted(items)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -255,39 +302,56 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def remove_windows(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    max_coverage: float = MAX_COVERAGE,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Documents without benchmark passages: matched spans are cut out, with their surroundings left as they are.
 
     A document whose matched words reach ``max_coverage`` of all its words is dropped. Clean documents keep their text,
     byte for byte, and every document keeps its other columns. Null texts stay null.
     """
-    held = automata(items, window)
-    place = docs.columns.index("text")
+    held = blocks(items, window, block_words)
+    place, columns = docs.columns.index("text"), docs.columns
+    many = len(held) > 1
+    if many:
+        stored = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+        rows = stored.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), "text")
+        hits = _all_passes(rows, held).where(F.size("spans") > 0)
+        hits = hits.select(F.col("row").alias("__row"), F.col("n_words").alias("__words"), F.col("spans").alias("__spans"))
+        given = stored.join(hits, "__row", "left").select(*columns, "__words", "__spans")
+    else:
+        given = docs
+
+    def matches(batch):
+        if many:
+            for text, n_words, spans in rows_of(iter([batch]), "text", "__words", "__spans"):
+                yield text, [(s["start"], s["end"]) for s in spans or ()], n_words
+            return
+        automaton = held[0].automaton()
+        for (text,) in rows_of(iter([batch]), "text"):
+            ids = automaton.ids((text or "").encode())
+            yield text, automaton.hits(ids)[0], len(ids)
 
     def task(batches):
-        blocks = [b.value for b in held]
         for batch in batches:
             keep, texts = [], []
-            for i, (text,) in enumerate(rows_of(iter([batch]), "text")):
-                left = text if text is None else _without(text, blocks, max_coverage)
+            for i, (text, spans, n_words) in enumerate(matches(batch)):
+                left = text if text is None else _without(text, spans, n_words, max_coverage)
                 if left is not None or text is None:
                     keep.append(i)
                     texts.append(left)
-            out = batch.take(pa.array(keep, pa.int64()))
+            out = batch.select(columns).take(pa.array(keep, pa.int64()))
             yield out.set_column(place, out.schema.field(place), pa.array(texts, out.schema.field(place).type))
 
-    return docs.mapInArrow(task, docs.schema)
+    return given.mapInArrow(task, docs.schema)
 
 
-def _without(text: str, blocks: list[ItemAutomaton], max_coverage: float) -> str | None:
+def _without(text: str, spans: list[tuple[int, int]], n_words: int, max_coverage: float) -> str | None:
     data = text.encode()
-    hit, n_words = set(), 0
-    for automaton in blocks:
-        ids = automaton.ids(data)
-        n_words = len(ids)
-        for start, end in automaton.hits(ids)[0]:
-            hit.update(range(start, end))
+    hit = {at for start, end in spans for at in range(start, end)}
     if not hit:
         return text
     if len(hit) >= max_coverage * n_words:

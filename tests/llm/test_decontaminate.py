@@ -84,3 +84,21 @@ def test_removal_cuts_spans_and_drops_covered_documents(spark):
     assert out[1]["text"] == "Before this,  and after it there are more words than that, as anybody can see."
     assert out[3]["text"] == docs[2][1] and out[4]["text"] is None
     assert out[1]["lang"] == "x" and out[1]["items"] == 1
+
+
+def test_blocks_keep_repeated_rows_and_rows_without_id(spark):
+    docs, items = corpus(8)
+    docs = [(None if i % 3 == 0 else i % 7, t) for i, t in docs]
+    d, i = frames(spark, docs, items)
+    key = lambda r: (r["doc_id"] or -1, r["n_words"], r["spans"], sorted(r["items"]))
+    one, many = (sorted(map(key, find_windows(d, i, block_words=n).collect())) for n in (10**6, 40))
+    assert len(many) == len(docs) and one == many
+
+
+def test_removal_with_blocks_gives_the_same(spark):
+    docs, items = corpus(8)
+    docs = [(None if i % 3 == 0 else i % 7, f"{t} {'other words ' * 40}" if i % 2 and t else t) for i, t in docs]
+    d, i = frames(spark, docs, items)
+    key = lambda r: (r["doc_id"] or -1, r["text"] or "", r["lang"], r["items"])
+    one, many = (sorted(map(key, remove_windows(d, i, block_words=n).collect())) for n in (10**6, 40))
+    assert one == many and any(r[1] for r in one)
