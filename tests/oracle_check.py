@@ -40,7 +40,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     start = time.time()
     frame = query(spark, sf_dir)
     columns = sorted(frame.columns)
-    mine = canonical(frame.select(*columns).toPandas().astype(object).itertuples(index=False, name=None))
+    mine = canonical(frame.select(*columns).collect())
     spark_seconds = time.time() - start
     start = time.time()
     result = con.execute(sql)
@@ -69,7 +69,7 @@ if __name__ == "__main__":
     session.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = duck(sf_dir), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
-        if only and name not in only:
+        if name not in sqls or (only and name not in only):
             continue
         try:
             problem, rows, s, d = compare(session, con, name, query, sqls[name], sf_dir)
