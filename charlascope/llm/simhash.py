@@ -21,12 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from charlascope.llm.base import batched, rows_of
 from charlascope.llm.components import components
-from charlascope.llm.shingles import near_copies
 from charlascope.session import cut_lineage
 
 SEED = 42
@@ -64,17 +63,15 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-
-
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` per row, fp as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys``, which are long columns, and fp per row; fp is a signed 64-bit number."""
+    schema = pa.schema([(c, pa.int64()) for c in (*keys, "fp")])
 
     def task(batches):
-        rows = rows_of(batches, "doc_id", "text:raw")
-        yield from batched(((i, _signed(fingerprint(t, words))) for i, t in rows), _PRINTS)
+        rows = rows_of(batches, *keys, "text:raw")
+        yield from batched(((*r[:-1], _signed(fingerprint(r[-1], words))) for r in rows), schema)
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, fp long")
+    return docs.select(*keys, "text").mapInArrow(task, ", ".join(f"{c} long" for c in (*keys, "fp")))
 
 
 def _signed(value: int) -> int:
@@ -236,29 +233,42 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """
     prints = cut_lineage(fingerprints(docs, words))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(nodes.select("fp")))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "fp"))
+    placed = _rooted(nodes)
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = placed.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes``, one row per fingerprint ``fp``, with the smallest fingerprint reachable as ``root``."""
+    roots = components(near_links(nodes.select("fp")))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return placed.withColumn("root", F.coalesce("root", "fp"))
+
+
 def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each group of texts whose shingle sets have a Jaccard similarity of 0.8 or more, all columns kept.
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each component of ``docs``, its columns unchanged, whatever their names.
 
-    The row with the smallest doc_id stays. Rows that share their doc_id with a kept one are ordered by text, and the
-    first stays. Rows without an id are kept: they cannot be told from each other.
+    The row with the smallest doc_id stays; rows without an id come last, equal ids are ordered by a hash of the text, and
+    rows that agree in both are copies of which any one stays. A row is told from others by a key of its own, so repeated
+    ids with different texts lose nothing but near copies. Texts without words are one component. An empty table stays empty.
     """
-    stored = cut_lineage(docs.withColumn("row", F.monotonically_increasing_id()))
-    placed = cut_lineage(stored.select("row", "doc_id").join(near_copies(stored, words), "row"))
-    first = placed.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    groups = first.where("doc_id is not null").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    kept = stored.join(groups, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order))
-    unnamed = stored.where("doc_id is null")
-    return kept.where("__rank = 1").select(*docs.columns).unionByName(unnamed.select(*docs.columns))
+    key = "row_key"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    stored = cut_lineage(docs.withColumn(key, F.monotonically_increasing_id()))
+    keyed = stored.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("digest"),
+        F.col(key).alias("row"),
+        "text",
+    )
+    prints = fingerprints(keyed, words, ("doc_id", "digest", "row"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min(order).alias("first")))
+    kept = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first"))
+    return stored.join(kept.select(F.col("first.row").alias(key)), key, "left_semi").select(*docs.columns)

@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from charlascope.llm.base import batched, held_out, rows_of
 from charlascope.session import cut_lineage
@@ -194,19 +195,20 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON, least: int = LEAST_DOCS)
     return Lexicon({r["stem"]: float(r["ratio"]) for r in top.select("stem", "ratio").collect()})
 
 
-def _featured(frame: DataFrame, lexicon: Lexicon, keys: dict[str, str]) -> DataFrame:
+def _featured(frame: DataFrame, lexicon: Lexicon, keys: tuple[str, ...]) -> DataFrame:
     """Key columns with the feature vector of ``text``; lexicons have at most ``LEXICON`` entries."""
     held = frame.sparkSession.sparkContext.broadcast(lexicon.weights)
-    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    schema = pa.schema([*((k, types[t]) for k, t in keys.items()), ("dense", pa.list_(pa.float64()))])
 
     def task(batches):
         words = Lexicon(held.value)
-        rows = rows_of(batches, *keys, "text")
-        yield from batched(((*r[:-1], features(r[-1], words)) for r in rows), schema, 4096)
+        for batch in batches:
+            dense = pa.array([features(t.as_py(), words) for t in batch.column("text")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), dense], [*keys, "dense"])
 
-    columns = ", ".join(f"{k} {t}" for k, t in keys.items())
-    out = frame.select(*keys, "text").mapInArrow(task, f"{columns}, dense array<double>")
+    kept = frame.select(*keys)
+    out = frame.select(*keys, F.col("text").alias("text")).mapInArrow(
+        task, StructType([*kept.schema.fields, StructField("dense", ArrayType(DoubleType()))])
+    )
     return out.withColumn("features", array_to_vector("dense")).drop("dense")
 
 
@@ -221,28 +223,43 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """One row per document: doc_id, held_out, score, predicted."""
-        rows = _featured(docs, self.lexicon, {"doc_id": "long"})
-        score = F.lit(float(self.share))
+        scored = self._scored(docs.select("doc_id", "text"), ("doc_id",))
+        return scored.select("doc_id", held_out().alias("held_out"), "score", _predicted().alias("predicted"))
+
+    def clean(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` that are not rejected, whatever their other columns are called."""
+        packed = docs.select(F.struct("*").alias("row"), "text")
+        return self._scored(packed, ("row",)).where(_predicted() == 0).select("row.*")
+
+    def _scored(self, frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        rows, score = _featured(frame, self.lexicon, keys), F.lit(float(self.share))
         if self.trees is not None:
             rows = self.trees.transform(rows)
             score = _steps(vector_to_array("probability")[1], *self.steps)
-        scored = rows.select("doc_id", held_out().alias("held_out"), score.alias("score"))
-        return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+        return rows.select(*keys, score.alias("score"))
+
+
+def _predicted():
+    return (F.col("score") >= THRESHOLD).cast("int")
 
 
 def _steps(value, bounds, levels):
-    """The calibration as an expression: linear between its boundaries, level beyond them."""
-    out = F.lit(float(levels[-1]))
-    for low, high, a, b in reversed(list(zip(bounds, bounds[1:], levels, levels[1:]))):
-        slope = (float(b) - float(a)) / (float(high) - float(low)) if high > low else 0.0
-        out = F.when(value < float(high), float(a) + (value - float(low)) * slope).otherwise(out)
-    return F.when(value <= float(bounds[0]), float(levels[0])).otherwise(out)
+    """The calibration as an expression: linear between its boundaries, level beyond them.
+
+    The boundary below a value is counted, so that the expression stays flat however many boundaries there are.
+    """
+    xs, ys = [float(b) for b in bounds], [float(v) for v in levels]
+    at = F.size(F.filter(F.array(*map(F.lit, xs)), lambda b: b <= value))
+    x = lambda n: F.get(F.array(*map(F.lit, xs)), n)
+    y = lambda n: F.get(F.array(*map(F.lit, ys)), n)
+    inside = y(at - 1) + (value - x(at - 1)) / (x(at) - x(at - 1)) * (y(at) - y(at - 1))
+    return F.when(at == 0, ys[0]).when(at == len(xs), ys[-1]).otherwise(inside)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = training_rows(docs, labels, sample)
     lexicon = learn_lexicon(rows.where("fit"))
-    dense = cut_lineage(_featured(rows, lexicon, {"doc_id": "long", "toxic": "int", "fit": "boolean"}))
+    dense = cut_lineage(_featured(rows, lexicon, ("doc_id", "toxic", "fit")))
     sizes = {(r["fit"], r["toxic"]): r["count"] for r in dense.groupBy("fit", "toxic").count().collect()}
     total = sum(sizes.values())
     share = sum(n for (_, toxic), n in sizes.items() if toxic) / total if total else 0.0
@@ -272,9 +289,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Documents that the model does not reject, with all their columns; null texts stay.
+    """Rows that the model does not reject, with all their columns.
 
-    Equal ids with different texts share the worse decision.
+    Every row is judged by its own text: a null id or an id that other rows share plays no part. Null texts stay.
     """
-    bad = toxicity(docs, labels, sample).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return fit(docs, labels, sample).clean(docs)

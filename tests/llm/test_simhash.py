@@ -119,8 +119,15 @@ def test_components_of_long_chains(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    rows = [(3, text, 1, "x"), (1, text, 2, "y"), (1, text, 3, "z"), (2, "other words here", 4, None), (None, text, 5, "n")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted((r["doc_id"] or 0, r["a"] in ("y", "z", "n", None)) for r in kept) == [(0, True), (1, True), (2, True)]
-    assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    b, x = " ".join(words[:200]), " ".join(words[200:])
+    rows = [
+        (2, b, 1, "2b"), (5, b, 2, "5b"), (5, x, 3, "5x"), (9, x, 4, "9x"), (None, x, 5, "nx"), (None, "alone", 6, "n"),
+        (None, "alone", 6, "n"), (7, None, 7, "7"), (6, "", 8, "6"), (11, " \t", 9, "11"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row_key int, row string")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r["row"], r["row_key"]) for r in kept.collect()) == [("2b", 1), ("5x", 3), ("6", 8), ("n", 6)]
+    assert simhash.keep_one(frame.limit(0)).count() == 0

@@ -73,6 +73,29 @@ def test_clean_documents_stay_whole(frames):
     assert sum(i in ids for i in clean) / len(clean) > 0.9
 
 
+def test_rows_are_judged_by_their_own_text(frames, spark):
+    docs, labels, truth = frames
+    bad = next(r["text"] for r in docs.collect() if truth.get(r["doc_id"]))
+    calm = next(r["text"] for r in docs.collect() if truth.get(r["doc_id"]) == 0)
+    rows = [(7, bad, "a"), (7, calm, "b"), (None, bad, "c"), (None, calm, "d"), (None, None, "e"), (8, "", "f")]
+    model = toxicity.fit(docs, labels)
+    kept = model.clean(spark.createDataFrame(rows, "doc_id long, text string, features string"))
+    assert kept.columns == ["doc_id", "text", "features"]
+    assert sorted(r["features"] for r in kept.collect()) == ["b", "d", "e", "f"]
+
+
+def test_calibration_is_linear_between_boundaries(spark):
+    import numpy as np
+
+    bounds, levels = np.array([0.1, 0.3, 0.3, 0.8]), np.array([0.0, 0.2, 0.4, 1.0])
+    frame = spark.createDataFrame([(v / 100,) for v in range(0, 101, 5)], "v double")
+    from pyspark.sql import functions as F
+
+    for r in frame.select("v", toxicity._steps(F.col("v"), bounds, levels).alias("s")).collect():
+        if abs(r["v"] - 0.3) > 1e-9:
+            assert abs(r["s"] - np.interp(r["v"], bounds, levels)) < 1e-12
+
+
 def test_obfuscated_words():
     assert list(toxicity.words_of("s.t.u.p.i.d Id1ot! l'eau 12 a-b")) == [
         ("stupid", True), ("idiot", True), ("l", False), ("eau", False), ("a", False), ("b", False)]
