@@ -17,7 +17,6 @@ from charlascope.llm.base import table
 from charlascope.session import run_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-SHINGLE_WORDS = 5
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -39,8 +38,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies, on shingles of five words, the document with the smallest id stays."""
-    return simhash.keep_one(docs, SHINGLE_WORDS)
+    """Of every component of SimHash near copies the document with the smallest id stays."""
+    return simhash.keep_one(docs)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
