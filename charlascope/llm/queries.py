@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from charlascope.llm import decontaminate, language, lines, neighbours, packing, repeats, secrets, simhash, toxicity, warc
+from charlascope.llm import (
+    alignment,
+    decontaminate,
+    language,
+    lines,
+    neighbours,
+    orderhash,
+    packing,
+    ranking,
+    repeats,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+)
 from charlascope.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -69,7 +95,44 @@ select page_id, n as payload_bytes, digest as payload_digest,
 from d
 """
 
+RANKING_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents
+), i as (
+  select row_number() over () as q, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from benchmark
+), sized as (
+  select r, doc_id, len(terms) as n, terms from d where len(terms) > 0
+), totals as (
+  select count(*)::bigint as big_n, sum(n)::bigint as big_l from sized
+), asked as (
+  select q, item_id, term, count(*) as repeats from i group by all
+), tf as (
+  select r, term, count(*) as tf from (select r, unnest(terms) as term from sized)
+  where term in (select term from asked) group by all
+), df as (
+  select term, count(*) as df from tf group by term
+), impact as (
+  select tf.r, tf.term,
+    floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)::double))::bigint
+      * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) as points
+  from tf join df using (term) join sized using (r) cross join totals
+), scored as (
+  select q, item_id, r, doc_id, sum(points * repeats)::bigint as score
+  from asked join impact using (term) join sized using (r) group by q, item_id, r, doc_id
+), ranked as (
+  select item_id, doc_id, score, row_number() over (partition by q order by score desc, doc_id nulls last) as rank
+  from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
+"""
+
 
 def oracles() -> dict[str, str]:
     """SQL for the operators that it can express."""
-    return {"op1_warc": WARC_SQL}
+    return {"op1_warc": WARC_SQL, "op11_ranking": RANKING_SQL}
