@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +34,12 @@ PIECE_BPE = "piece_bpe_32k.model"
 SEGMENT_IDS = 128
 # First level of the tree of sums.
 BRANCHES = 8
-# Pieces, and their characters, that a task remembers before it starts anew; longer pieces are not kept.
-KNOWN_PIECES = 200_000
-KNOWN_CHARS = 8_000_000
+# Pieces, and their characters, that a Python worker remembers before it starts anew; a piece takes about 350 bytes.
+KNOWN_PIECES = 500_000
+KNOWN_CHARS = 16_000_000
+# Characters of texts that are taken up, and of new pieces that are tokenized, at once.
+BATCH_CHARS = 500_000
+RUN_CHARS = 20_000
 # Pairs a task counts before it hands them on.
 HELD_PAIRS = 2_000_000
 # Pairs whose counts one second pass holds in memory, about 14 bytes each; beyond it the texts are passed again.
@@ -60,17 +62,6 @@ def pieces_of(text: str) -> Iterator[list[str]]:
         at = end
 
 
-@dataclass
-class Piece:
-    """Alignment of a piece: numbers of tokens, groups in text form, and its links as pair keys."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: np.ndarray
-
-
 class Aligner:
     """Both tokenizers. A pair's key is its A id times the size of the B vocabulary plus its B id, below 2**32."""
 
@@ -89,6 +80,10 @@ class Aligner:
         for token, i in self.a.get_vocab(with_added_tokens=True).items():
             self.a_bytes[i] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
         self.b_bytes = [self._piece_bytes(i) for i in range(self.b_size)]
+        self.sides = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
+        names = [str(i) for i in range(max(len(self.a_bytes), self.b_size))]
+        self.written = {mark: np.array([n + mark for n in names], object) for mark in ",|;"}
+        self.widths = np.array([len(n) + 1 for n in names], np.int64)
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -96,35 +91,72 @@ class Aligner:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def __call__(self, pieces: list[str]) -> list[Piece | None]:
-        """One alignment per piece, null where the joined bytes of either side differ from the piece."""
-        of_a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
-        of_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [self._aligned(*x) for x in zip(pieces, of_a, of_b)]
-
-    def _aligned(self, piece: str, a: list[int], b: list[int]) -> Piece | None:
-        raw = piece.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        i = j = end_a = end_b = start_i = start_j = 0
-        links, groups = [], []
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append(a[i] * self.b_size + b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[start_i : i + 1]))}|{','.join(map(str, b[start_j : j + 1]))}")
-                start_i, start_j = i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                end_a += len(self.a_bytes[a[i]])
-                end_b += len(self.b_bytes[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.a_bytes[a[i]])
-            else:
-                j += 1
-                end_b += len(self.b_bytes[b[j]])
-        return Piece(len(a), len(b), len(groups), ";".join(groups), np.array(links, np.uint32))
+    def tokens(self, pieces: list[str]) -> tuple[list[str], list[str], list[int], list[int]]:
+        """Pieces whose bytes both sides join to again, the others, and the ids of the former one after the other.
+
+        Pieces that begin with one space and end without white space can follow each other in one text.
+        """
+        sound, bad, of_a, of_b = [], [], [], []
+        runs, held, size = [], [], 0
+        for piece in pieces:
+            if len(piece) < 2 or piece[1].isspace() or piece[-1].isspace():
+                runs.append([piece])
+                continue
+            held.append(piece)
+            size += len(piece)
+            if size > RUN_CHARS:
+                runs.append(held)
+                held, size = [], 0
+        runs += [held] if held else []
+        while runs:
+            texts = ["".join(run) for run in runs]
+            ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+            again = []
+            for run, text, a, b in zip(runs, texts, *ids):
+                raw = text.encode()
+                joined = b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
+                if joined == (raw, raw):
+                    sound += run
+                    of_a += a
+                    of_b += b
+                elif len(run) == 1:
+                    bad += run
+                else:
+                    again += [run[: len(run) // 2], run[len(run) // 2 :]]
+            runs = again
+        return sound, bad, of_a, of_b
+
+    def align(self, pieces: list[str], a: list[int], b: list[int]) -> Aligned:
+        """The tokens of sound pieces, end to end, aligned in one go: every piece ends with a token of both sides."""
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.sides[0][a]), np.cumsum(self.sides[1][b])
+        cuts = np.union1d(end_a, end_b)
+        links = a[np.searchsorted(end_a, cuts)] * self.b_size + b[np.searchsorted(end_b, cuts)]
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        each = lambda at: np.bincount(np.searchsorted(ends, at), minlength=len(pieces))
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        last_a, last_b = shared[group_a] == end_a, shared[group_b] == end_b
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        said = np.concatenate((
+            np.where(last_a, self.written["|"][a], self.written[","][a]),
+            np.where(last_b, self.written[";"][b], self.written[","][b]),
+        ))[order]
+        width = np.cumsum(np.concatenate((self.widths[a], self.widths[b]))[order])
+        n_a, n_b = each(end_a), each(end_b)
+        stops = width[np.cumsum(n_a + n_b) - 1].tolist()
+        whole = "".join(said.tolist())
+        groups = [whole[i : j - 1] for i, j in zip([0, *stops], stops)]
+        return Aligned(np.column_stack((n_a, n_b, each(shared), each(cuts))), groups, links.astype(np.uint32))
+
+
+@dataclass
+class Aligned:
+    """Pieces one after the other: numbers of A and B tokens, groups and links of each, its groups as text, all links."""
+
+    numbers: np.ndarray
+    groups: list[str]
+    links: np.ndarray
 
 
 def _byte_letters() -> dict[int, str]:
@@ -135,34 +167,92 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memory:
-    """Alignments of pieces, each made once; ``start_anew`` forgets them when they are too many."""
+    """Alignments of pieces, each made once: a slot number per piece, -1 for those whose bytes are not joined again."""
 
     def __init__(self, aligner: Aligner):
         self.aligner = aligner
-        self.slots: dict[str, int] = {}
-        self.known: list[Piece] = []
-        self.bad: set[str] = set()
-        self.chars = 0
+        self.start_anew()
 
     def full(self) -> bool:
-        return len(self.slots) + len(self.bad) > KNOWN_PIECES or self.chars > KNOWN_CHARS
+        return len(self.slots) > KNOWN_PIECES or self.chars > KNOWN_CHARS
 
     def start_anew(self) -> None:
-        self.slots, self.known, self.bad, self.chars = {}, [], set(), 0
-
-    def learn(self, pieces: Iterable[str]) -> list[Piece]:
-        """Align the pieces not known yet; returns the new ones that are sound."""
-        new = [p for p in set(pieces) if p not in self.slots and p not in self.bad]
-        sound = []
-        for piece, found in zip(new, self.aligner(new)):
-            self.chars += len(piece)
-            if found is None:
-                self.bad.add(piece)
-            else:
-                self.slots[piece] = len(self.known)
-                self.known.append(found)
-                sound.append(found)
-        return sound
+        self.slots: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.parts: list[Aligned] = []
+        self.chars = 0
+        self.age = object()
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Align the pieces that are not known yet."""
+        new = list(set().union(*lists).difference(self.slots))
+        if not new:
+            return
+        self.chars += sum(map(len, new))
+        sound, bad, a, b = self.aligner.tokens(new)
+        self.slots.update(dict.fromkeys(bad, -1))
+        if sound:
+            found = self.aligner.align(sound, a, b)
+            self.slots.update(zip(sound, range(len(self.groups), len(self.groups) + len(sound))))
+            self.groups += found.groups
+            found.groups = []
+            self.parts.append(found)
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+
+
+_memories: dict[tuple[str, str], Memory] = {}
+
+
+def worker_memory(paths: tuple[str, str]) -> Memory:
+    """One memory for each pair of vocabularies and Python worker; tasks that follow each other share it."""
+    if paths not in _memories:
+        _memories[paths] = Memory(Aligner(*paths))
+    return _memories[paths]
+
+
+Row = tuple
+Places = Iterator[np.ndarray] | None
+
+
+def placed(rows: Iterable[Row], memory: Memory, make_room: Callable[[], None]) -> Iterator[tuple[Row, Places]]:
+    """Rows, whose last value is a text, with the slots of the text's pieces in order; null for texts without tokens.
+
+    Texts come in batches whose pieces are learned together, long ones list by list. ``make_room`` empties a full memory.
+    """
+    held, chars = [], 0
+
+    def settled() -> Iterator[tuple[Row, Places]]:
+        if memory.full():
+            make_room()
+        lists = [next(pieces_of(r[-1])) if r[-1] else [] for r in held]
+        memory.learn(lists)
+        for row, pieces in zip(held, lists):
+            at = memory.places(pieces)
+            yield row, iter((at,)) if len(at) and at.min() >= 0 else None
+
+    for row in rows:
+        if row[-1] and len(row[-1]) >= SLICE:
+            yield row, _long(row[-1], memory, make_room)
+            continue
+        held.append(row)
+        chars += len(row[-1] or "")
+        if chars > BATCH_CHARS:
+            yield from settled()
+            held, chars = [], 0
+    yield from settled()
+
+
+def _long(text: str, memory: Memory, make_room: Callable[[], None]) -> Places:
+    def lists() -> Iterator[np.ndarray]:
+        for pieces in pieces_of(text):
+            if memory.full():
+                make_room()
+            memory.learn([pieces])
+            yield memory.places(pieces)
+
+    return lists() if all(at.min() >= 0 for at in lists()) else None
 
 
 # ---- Minimal perfect hash ----
@@ -263,34 +353,29 @@ class Counts:
         np.add.at(self.sums, where, counts)
 
 
-def _text_counts(memory: Memory, text: str) -> Counter | None:
-    """How often a text holds each piece; nothing if its bytes cannot be joined again."""
-    found: Counter = Counter()
-    for pieces in pieces_of(text):
-        memory.learn(pieces)
-        if memory.bad and not memory.bad.isdisjoint(pieces):
-            return None
-        found.update(pieces)
-    return found
-
-
 def local_counts(texts: Iterable[str | None], memory: Memory) -> Iterator[Counts]:
     """Links by pair, in bounded parts."""
-    held, uses = Counts(), Counter()
+    held, uses = Counts(), np.zeros(0, np.int64)
 
     def settle() -> None:
-        if uses:
-            found = [(memory.known[memory.slots[p]].links, n) for p, n in uses.items()]
-            keys = np.concatenate([k for k, _ in found])
-            held.add(keys, np.repeat(np.array([n for _, n in found], np.int64), [len(k) for k, _ in found]))
-            uses.clear()
+        nonlocal uses
+        first = 0
+        for part in memory.parts:
+            n = uses[first : first + len(part.numbers)]
+            n = np.repeat(n, part.numbers[: len(n), 3])
+            held.add(part.links[: len(n)][n > 0], n[n > 0])
+            first += len(part.numbers)
+        uses = np.zeros(0, np.int64)
+
+    def make_room() -> None:
+        settle()
         memory.start_anew()
 
-    for text in texts:
-        if text:
-            if memory.full():
-                settle()
-            uses.update(_text_counts(memory, text) or {})
+    for _, places in placed(((t,) for t in texts), memory, make_room):
+        for at in places or ():
+            if len(memory.groups) > len(uses):
+                uses = np.concatenate((uses, np.zeros(len(memory.groups) - len(uses), np.int64)))
+            np.add.at(uses, at, 1)
         if len(held.keys) > HELD_PAIRS:
             yield held
             held = Counts()
@@ -298,10 +383,6 @@ def local_counts(texts: Iterable[str | None], memory: Memory) -> Iterator[Counts
     yield held
 
 
-def _aligner(paths: tuple[str, str]) -> Aligner:
-    return Aligner(*paths)
-
-
 def _first_pass(docs: DataFrame, paths: tuple[str, str], segment_keys: int) -> DataFrame:
     """segment, branch, keys, counts: what each task counted."""
 
@@ -309,7 +390,7 @@ def _first_pass(docs: DataFrame, paths: tuple[str, str], segment_keys: int) -> D
         context = TaskContext.get()
         branch = context.partitionId() % BRANCHES if context else 0
         texts = (t for (t,) in rows_of(batches, "text"))
-        for held in local_counts(texts, Memory(_aligner(paths))):
+        for held in local_counts(texts, worker_memory(paths)):
             cuts = np.flatnonzero(np.diff(held.keys // segment_keys)) + 1
             keys, sums = np.split(held.keys, cuts), np.split(held.sums, cuts)
             rows = [(int(k[0]) // segment_keys, branch, k.tobytes(), s.tobytes()) for k, s in zip(keys, sums) if len(k)]
@@ -470,44 +551,40 @@ class Totals:
 
     def __init__(self, memory: Memory, table: PairTable, best: np.ndarray, b_size: int):
         self.memory, self.table, self.best, self.b_size = memory, table, best, b_size
-        self.rows = np.zeros((1024, len(_NUMBERS)), np.int64)
+        self.age, self.parts, self.rows = None, 0, np.zeros((0, len(_NUMBERS)), np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        first = len(self.memory.known)
-        new = self.memory.learn(pieces)
-        if not new:
+    def _follow(self) -> None:
+        """Look up the links of pieces that the memory has learned since."""
+        if self.age is not self.memory.age:
+            self.age, self.parts, self.rows = self.memory.age, 0, self.rows[:0]
+        if self.parts == len(self.memory.parts):
             return
-        while first + len(new) > len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        keys = np.concatenate([p.links for p in new])
-        counts = self.table.look_up(keys)
-        top = (counts > 0) & (counts == self.best[keys % self.b_size])
-        sizes = np.array([len(p.links) for p in new])
-        starts = np.cumsum(sizes) - sizes
-        self.rows[first : first + len(new)] = np.column_stack([
-            [p.n_a for p in new], [p.n_b for p in new], [p.n_groups for p in new], sizes,
-            np.add.reduceat(top.astype(np.int64), starts), np.add.reduceat(counts, starts),
-        ])
-
-    def __call__(self, text: str | None, with_groups: bool) -> tuple[np.ndarray, str, str | None]:
-        """The numbers, the hash of the groups and, if wanted, the groups themselves."""
-        none = np.zeros(len(_NUMBERS), np.int64), "", "" if with_groups else None
-        if not text:
-            return none
-        if self.memory.full():
-            self.memory.start_anew()
-        total, digest, kept = none[0].copy(), hashlib.sha256(), []
-        for n, pieces in enumerate(pieces_of(text)):
-            self._learn(pieces)
-            if self.memory.bad and not self.memory.bad.isdisjoint(pieces):
-                return none
-            slots = list(map(self.memory.slots.__getitem__, pieces))
-            total += self.rows[slots].sum(axis=0)
-            groups = ";".join([self.memory.known[s].groups for s in slots])
-            digest.update((";" + groups if n else groups).encode())
-            if with_groups:
-                kept.append(groups)
-        return total, digest.hexdigest(), ";".join(kept) if with_groups else None
+        found = [self.rows]
+        for part in self.memory.parts[self.parts :]:
+            counts = self.table.look_up(part.links)
+            top = (counts > 0) & (counts == self.best[part.links % self.b_size])
+            sizes = part.numbers[:, 3]
+            starts = np.cumsum(sizes) - sizes
+            sums = np.add.reduceat(top.astype(np.int64), starts), np.add.reduceat(counts, starts)
+            found.append(np.column_stack((part.numbers, *sums)))
+        self.rows, self.parts = np.concatenate(found), len(self.memory.parts)
+
+    def __call__(self, rows: Iterable[Row], with_groups: bool) -> Iterator[tuple[Row, np.ndarray, str, str | None]]:
+        """Each row with its text's numbers, the hash of its groups and, if wanted, the groups themselves."""
+        none = np.zeros(len(_NUMBERS), np.int64)
+        for row, places in placed(rows, self.memory, self.memory.start_anew):
+            if places is None:
+                yield row, none, "", "" if with_groups else None
+                continue
+            total, digest, kept = none.copy(), hashlib.sha256(), []
+            for n, at in enumerate(places):
+                self._follow()
+                total += self.rows[at].sum(axis=0)
+                groups = ";".join(map(self.memory.groups.__getitem__, at.tolist()))
+                digest.update((";" + groups if n else groups).encode())
+                if with_groups:
+                    kept.append(groups)
+            yield row, total, digest.hexdigest(), ";".join(kept) if with_groups else None
 
 
 def align(
@@ -545,10 +622,11 @@ def _second_pass(texts, paths, held, best, b_size, with_groups: bool, again: boo
     before = ("n_best", "count_sum") if again else ()
 
     def task(batches):
-        totals = Totals(Memory(_aligner(paths)), held.value, best.value, b_size)
+        totals = Totals(worker_memory(paths), held.value, best.value, b_size)
         rows, chars = [], 0
-        for doc_id, text, *sums in rows_of(batches, "doc_id", "text", *before):
-            numbers, digest, groups = totals(text, with_groups)
+        for (doc_id, *sums, text), numbers, digest, groups in totals(
+            rows_of(batches, "doc_id", *before, "text"), with_groups
+        ):
             numbers = numbers.tolist()
             if again:
                 numbers[-2:] = numbers[-2] + sums[0], numbers[-1] + sums[1]

@@ -106,6 +106,8 @@ def test_equals_brute_force(spark, tokenizers, monkeypatch, pass_pairs):
 
 def test_memory_that_starts_anew_and_parts(tokenizers, monkeypatch):
     monkeypatch.setattr(alignment, "KNOWN_PIECES", 30)
+    monkeypatch.setattr(alignment, "BATCH_CHARS", 60)
+    monkeypatch.setattr(alignment, "RUN_CHARS", 20)
     monkeypatch.setattr(alignment, "HELD_PAIRS", 100)
     rows = texts()
     aligner = alignment.Aligner(*alignment.default_paths())
