@@ -14,6 +14,7 @@ such a place, so the pieces between are aligned once per task and remembered.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -40,6 +41,8 @@ KNOWN_CHARS = 16_000_000
 # Characters of texts that are taken up, and of new pieces that are tokenized, at once.
 BATCH_CHARS = 500_000
 RUN_CHARS = 20_000
+# Characters of a piece that is encoded on its own, by the vocabulary's own library.
+LONG_PIECE = 500
 # Pairs a task counts before it hands them on.
 HELD_PAIRS = 2_000_000
 # Pairs whose counts one second pass holds in memory, about 14 bytes each; beyond it the texts are passed again.
@@ -48,18 +51,22 @@ PASS_PAIRS = 8_000_000
 SLICE = 1 << 20
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
+_BESIDE_SPACE = re.compile(r"\s | \s")
 _U64 = np.uint64
 
 
 def pieces_of(text: str) -> Iterator[list[str]]:
-    """Space and text, cut at single spaces; every piece begins with its space. Long texts come in several lists."""
-    whole, at = " " + text, 0
-    while at < len(whole):
-        cut = _BREAK.search(whole, at + SLICE) if len(whole) - at > SLICE else None
-        end = cut.start() if cut else len(whole)
-        first, *rest = _BREAK.split(whole[at:end])
-        yield [first, *(" " + r for r in rest)]
-        at = end
+    """Space and text, cut at single spaces, without the space that every piece begins with. Long texts come in several lists."""
+    at = 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + SLICE) if len(text) - at > SLICE else None
+        end = cut.start() if cut else len(text)
+        part = text[at:end]
+        if part[0].isspace() or part[-1] == " " or _BESIDE_SPACE.search(part):
+            yield [p[1:] for p in re.split(r"(?<=\S)(?= \S)", " " + part)]
+        else:
+            yield part.split(" ")
+        at = end + 1
 
 
 class Aligner:
@@ -74,6 +81,7 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=piece_path)
         self.b_size = self.b.get_piece_size()
         letter = {c: n for n, c in _byte_letters().items()}
+        self.fast_a = _in_order(byte_path, letter)
         self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         if len(self.a_bytes) * self.b_size > 1 << 32:
             raise ValueError("pair keys of these vocabularies need more than 32 bits")
@@ -91,15 +99,20 @@ class Aligner:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
+    def _ids_of_a(self, text: str, long: bool) -> list[int]:
+        if self.fast_a is None or long:
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.fast_a.encode_ordinary(text)
+
     def tokens(self, pieces: list[str]) -> tuple[list[str], list[str], list[int], list[int]]:
         """Pieces whose bytes both sides join to again, the others, and the ids of the former one after the other.
 
-        Pieces that begin with one space and end without white space can follow each other in one text.
+        Pieces that neither begin nor end with white space can follow each other in one text.
         """
         sound, bad, of_a, of_b = [], [], [], []
         runs, held, size = [], [], 0
         for piece in pieces:
-            if len(piece) < 2 or piece[1].isspace() or piece[-1].isspace():
+            if not piece or len(piece) > LONG_PIECE or piece[0].isspace() or piece[-1].isspace():
                 runs.append([piece])
                 continue
             held.append(piece)
@@ -109,11 +122,11 @@ class Aligner:
                 held, size = [], 0
         runs += [held] if held else []
         while runs:
-            texts = ["".join(run) for run in runs]
-            ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+            texts = [" ".join(run) for run in runs]
             again = []
-            for run, text, a, b in zip(runs, texts, *ids):
-                raw = text.encode()
+            for run, text, b in zip(runs, texts, self.b.encode(texts, num_threads=1)):
+                a = self._ids_of_a(" " + text, max(map(len, run)) > LONG_PIECE)
+                raw = b" " + text.encode()
                 joined = b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
                 if joined == (raw, raw):
                     sound += run
@@ -126,15 +139,19 @@ class Aligner:
             runs = again
         return sound, bad, of_a, of_b
 
-    def align(self, pieces: list[str], a: list[int], b: list[int]) -> Aligned:
+    def align(self, pieces: list[str], a: list[int], b: list[int], with_groups: bool = True) -> Aligned:
         """The tokens of sound pieces, end to end, aligned in one go: every piece ends with a token of both sides."""
-        ends = np.cumsum([len(p.encode()) for p in pieces])
+        ends = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in pieces])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         end_a, end_b = np.cumsum(self.sides[0][a]), np.cumsum(self.sides[1][b])
         cuts = np.union1d(end_a, end_b)
         links = a[np.searchsorted(end_a, cuts)] * self.b_size + b[np.searchsorted(end_b, cuts)]
         shared = np.intersect1d(end_a, end_b, assume_unique=True)
         each = lambda at: np.bincount(np.searchsorted(ends, at), minlength=len(pieces))
+        n_a, n_b = each(end_a), each(end_b)
+        found = Aligned(np.column_stack((n_a, n_b, each(shared), each(cuts))), [], links.astype(np.uint32))
+        if not with_groups:
+            return found
         group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
         last_a, last_b = shared[group_a] == end_a, shared[group_b] == end_b
         order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
@@ -143,11 +160,10 @@ class Aligner:
             np.where(last_b, self.written[";"][b], self.written[","][b]),
         ))[order]
         width = np.cumsum(np.concatenate((self.widths[a], self.widths[b]))[order])
-        n_a, n_b = each(end_a), each(end_b)
         stops = width[np.cumsum(n_a + n_b) - 1].tolist()
         whole = "".join(said.tolist())
-        groups = [whole[i : j - 1] for i, j in zip([0, *stops], stops)]
-        return Aligned(np.column_stack((n_a, n_b, each(shared), each(cuts))), groups, links.astype(np.uint32))
+        found.groups = [whole[i : j - 1] for i, j in zip([0, *stops], stops)]
+        return found
 
 
 @dataclass
@@ -159,6 +175,22 @@ class Aligned:
     links: np.ndarray
 
 
+def _in_order(path: str, letter: dict[str, int]):
+    """The same merges in a quicker encoder, if ids are in the order of merges, as they are in its rank files."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
+    if spec["pre_tokenizer"].get("type") != "ByteLevel" or spec.get("normalizer"):
+        return None
+    if any(vocabulary.get("".join(pair)) != 256 + n for n, pair in enumerate(pairs)):
+        return None
+    ranks = {bytes(letter[c] for c in t): i for t, i in vocabulary.items() if all(c in letter for c in t)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _byte_letters() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -166,50 +198,62 @@ def _byte_letters() -> dict[int, str]:
     return {n: chr(n) for n in plain} | {n: chr(256 + k) for k, n in enumerate(others)}
 
 
+class _Slots(dict):
+    def __missing__(self, piece: str) -> int:
+        return -2
+
+
 class Memory:
     """Alignments of pieces, each made once: a slot number per piece, -1 for those whose bytes are not joined again."""
 
-    def __init__(self, aligner: Aligner):
-        self.aligner = aligner
+    def __init__(self, aligner: Aligner, with_groups: bool = False):
+        self.aligner, self.with_groups = aligner, with_groups
         self.start_anew()
 
     def full(self) -> bool:
         return len(self.slots) > KNOWN_PIECES or self.chars > KNOWN_CHARS
 
     def start_anew(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = _Slots()
         self.groups: list[str] = []
         self.parts: list[Aligned] = []
-        self.chars = 0
+        self.size = self.chars = 0
         self.age = object()
 
-    def learn(self, lists: list[list[str]]) -> None:
-        """Align the pieces that are not known yet."""
-        new = list(set().union(*lists).difference(self.slots))
-        if not new:
-            return
+    def places(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """The slots of each list's pieces; those not known yet are aligned, together."""
+        slot = self.slots.__getitem__
+        found = [np.fromiter(map(slot, pieces), np.int64, len(pieces)) for pieces in lists]
+        new = {pieces[i] for pieces, at in zip(lists, found) for i in np.flatnonzero(at == -2).tolist()}
+        if new:
+            self._learn(list(new))
+            for pieces, at in zip(lists, found):
+                for i in np.flatnonzero(at == -2).tolist():
+                    at[i] = self.slots[pieces[i]]
+        return found
+
+    def _learn(self, new: list[str]) -> None:
         self.chars += sum(map(len, new))
         sound, bad, a, b = self.aligner.tokens(new)
         self.slots.update(dict.fromkeys(bad, -1))
         if sound:
-            found = self.aligner.align(sound, a, b)
-            self.slots.update(zip(sound, range(len(self.groups), len(self.groups) + len(sound))))
+            found = self.aligner.align(sound, a, b, self.with_groups)
+            self.slots.update(zip(sound, range(self.size, self.size + len(sound))))
+            self.size += len(sound)
             self.groups += found.groups
             found.groups = []
             self.parts.append(found)
 
-    def places(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
-
 
-_memories: dict[tuple[str, str], Memory] = {}
+_held: dict[tuple, Memory] = {}
 
 
-def worker_memory(paths: tuple[str, str]) -> Memory:
-    """One memory for each pair of vocabularies and Python worker; tasks that follow each other share it."""
-    if paths not in _memories:
-        _memories[paths] = Memory(Aligner(*paths))
-    return _memories[paths]
+def worker_memory(paths: tuple[str, str], with_groups: bool) -> Memory:
+    """The memory of a Python worker; tasks of one pass that follow each other share it."""
+    if (paths, with_groups) not in _held:
+        _held.clear()
+        _held[paths, with_groups] = Memory(Aligner(*paths), with_groups)
+    return _held[paths, with_groups]
 
 
 Row = tuple
@@ -227,9 +271,7 @@ def placed(rows: Iterable[Row], memory: Memory, make_room: Callable[[], None]) -
         if memory.full():
             make_room()
         lists = [next(pieces_of(r[-1])) if r[-1] else [] for r in held]
-        memory.learn(lists)
-        for row, pieces in zip(held, lists):
-            at = memory.places(pieces)
+        for row, at in zip(held, memory.places(lists)):
             yield row, iter((at,)) if len(at) and at.min() >= 0 else None
 
     for row in rows:
@@ -249,8 +291,7 @@ def _long(text: str, memory: Memory, make_room: Callable[[], None]) -> Places:
         for pieces in pieces_of(text):
             if memory.full():
                 make_room()
-            memory.learn([pieces])
-            yield memory.places(pieces)
+            yield memory.places([pieces])[0]
 
     return lists() if all(at.min() >= 0 for at in lists()) else None
 
@@ -373,8 +414,8 @@ def local_counts(texts: Iterable[str | None], memory: Memory) -> Iterator[Counts
 
     for _, places in placed(((t,) for t in texts), memory, make_room):
         for at in places or ():
-            if len(memory.groups) > len(uses):
-                uses = np.concatenate((uses, np.zeros(len(memory.groups) - len(uses), np.int64)))
+            if memory.size > len(uses):
+                uses = np.concatenate((uses, np.zeros(memory.size - len(uses), np.int64)))
             np.add.at(uses, at, 1)
         if len(held.keys) > HELD_PAIRS:
             yield held
@@ -390,7 +431,7 @@ def _first_pass(docs: DataFrame, paths: tuple[str, str], segment_keys: int) -> D
         context = TaskContext.get()
         branch = context.partitionId() % BRANCHES if context else 0
         texts = (t for (t,) in rows_of(batches, "text"))
-        for held in local_counts(texts, worker_memory(paths)):
+        for held in local_counts(texts, worker_memory(paths, False)):
             cuts = np.flatnonzero(np.diff(held.keys // segment_keys)) + 1
             keys, sums = np.split(held.keys, cuts), np.split(held.sums, cuts)
             rows = [(int(k[0]) // segment_keys, branch, k.tobytes(), s.tobytes()) for k, s in zip(keys, sums) if len(k)]
@@ -622,7 +663,7 @@ def _second_pass(texts, paths, held, best, b_size, with_groups: bool, again: boo
     before = ("n_best", "count_sum") if again else ()
 
     def task(batches):
-        totals = Totals(worker_memory(paths), held.value, best.value, b_size)
+        totals = Totals(worker_memory(paths, True), held.value, best.value, b_size)
         rows, chars = [], 0
         for (doc_id, *sums, text), numbers, digest, groups in totals(
             rows_of(batches, "doc_id", *before, "text"), with_groups
