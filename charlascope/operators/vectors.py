@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlascope.operators.retrieve import SIM_SCALE
+from charlascope.operators.products import SIM_SCALE
 from charlascope.session import cut_lineage, work_partitions
 
 NEAREST = 50

@@ -51,5 +51,3 @@ REVIEW_SAMPLE = 50
 # ---- Size limits (tuning, not semantics) ----
 # Rows of one key that a single task may hold; larger keys are split over tasks.
 HOT_ROWS = 1_000_000
-# Rows of the phrase index that may be broadcast (about 100 bytes each once hashed).
-BROADCAST_ROWS = 2_000_000
