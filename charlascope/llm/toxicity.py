@@ -195,18 +195,22 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON, least: int = LEAST_DOCS)
     return Lexicon({r["stem"]: float(r["ratio"]) for r in top.select("stem", "ratio").collect()})
 
 
-def _featured(frame: DataFrame, lexicon: Lexicon, keys: tuple[str, ...]) -> DataFrame:
-    """Key columns with the feature vector of ``text``; lexicons have at most ``LEXICON`` entries."""
+def _featured(frame: DataFrame, lexicon: Lexicon, keys: tuple[str, ...], text: int | None = None) -> DataFrame:
+    """Key columns with the feature vector of ``text``; lexicons have at most ``LEXICON`` entries.
+
+    ``text`` is the place of the text inside the key column, if that is a whole row.
+    """
     held = frame.sparkSession.sparkContext.broadcast(lexicon.weights)
 
     def task(batches):
         words = Lexicon(held.value)
         for batch in batches:
-            dense = pa.array([features(t.as_py(), words) for t in batch.column("text")], pa.list_(pa.float64()))
+            texts = batch.column("text") if text is None else batch.column(keys[0]).field(text)
+            dense = pa.array([features(t.as_py(), words) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*map(batch.column, keys), dense], [*keys, "dense"])
 
     kept = frame.select(*keys)
-    out = frame.select(*keys, F.col("text").alias("text")).mapInArrow(
+    out = frame.select(*keys, *["text"] * (text is None)).mapInArrow(
         task, StructType([*kept.schema.fields, StructField("dense", ArrayType(DoubleType()))])
     )
     return out.withColumn("features", array_to_vector("dense")).drop("dense")
@@ -223,16 +227,16 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """One row per document: doc_id, held_out, score, predicted."""
-        scored = self._scored(docs.select("doc_id", "text"), ("doc_id",))
+        scored = self._scored(docs, ("doc_id",))
         return scored.select("doc_id", held_out().alias("held_out"), "score", _predicted().alias("predicted"))
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` that are not rejected, whatever their other columns are called."""
-        packed = docs.select(F.struct("*").alias("row"), "text")
-        return self._scored(packed, ("row",)).where(_predicted() == 0).select("row.*")
+        packed = docs.select(F.struct("*").alias("row"))
+        return self._scored(packed, ("row",), [c.lower() for c in docs.columns].index("text")).where(_predicted() == 0).select("row.*")
 
-    def _scored(self, frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        rows, score = _featured(frame, self.lexicon, keys), F.lit(float(self.share))
+    def _scored(self, frame: DataFrame, keys: tuple[str, ...], text: int | None = None) -> DataFrame:
+        rows, score = _featured(frame, self.lexicon, keys, text), F.lit(float(self.share))
         if self.trees is not None:
             rows = self.trees.transform(rows)
             score = _steps(vector_to_array("probability")[1], *self.steps)
