@@ -206,17 +206,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+_PACKED = pa.schema([("uid", pa.int64()), ("grams", pa.binary()), ("steps", pa.binary()), ("offsets", pa.binary())])
 _ANCHORS = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("place", pa.int64())])
 
 
-def anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+def packed_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """One stored row per text with anchors: their hashes, how many windows each has, and how far into its first it lies."""
+
+    def task(batches):
+        def rows():
+            for uid, text in rows_of(batches, "uid", "text:raw"):
+                found = list(anchors_of(text, length, gram))
+                if found:
+                    hashes, places, first, last = (np.concatenate(x) for x in zip(*found))
+                    steps, offsets = (last - first + 1).astype(np.uint16), (places - first).astype(np.uint16)
+                    yield uid, hashes.tobytes(), steps.tobytes(), offsets.tobytes()
+
+        yield from batched(rows(), _PACKED, 1024)
+
+    found = keyed.select("uid", "text").mapInArrow(task, "uid long, grams binary, steps binary, offsets binary")
+    return cut_lineage(found)
+
+
+def gram_rows(packed: DataFrame) -> DataFrame:
+    """The hash of every anchor."""
+    schema = pa.schema([_ANCHORS.field("gram")])
+
+    def task(batches):
+        for (grams,) in rows_of(batches, "grams"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(grams, np.int64))], schema=schema)
+
+    return packed.select("grams").mapInArrow(_grouped(task), "gram long")
+
+
+def anchor_rows(packed: DataFrame) -> DataFrame:
+    """uid, gram and place of every anchor; place holds the first window, the gram's offset there and the windows after it."""
+
     def task(batches):
-        for uid, text in rows_of(batches, "uid", "text:raw"):
-            for hashes, places, _, _ in anchors_of(text, length, gram):
-                uids = np.full(len(hashes), uid, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uids, hashes, places)], schema=_ANCHORS)
+        for uid, grams, steps, offsets in rows_of(batches, "uid", "grams", "steps", "offsets"):
+            grams = np.frombuffer(grams, np.int64)
+            steps, offsets = (np.frombuffer(x, np.uint16).astype(np.int64) for x in (steps, offsets))
+            place = ((np.cumsum(steps) - steps) << 32) | (offsets << 16) | (steps - 1)
+            arrays = [pa.array(x) for x in (np.full(len(grams), uid, np.int64), grams, place)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=_ANCHORS)
 
-    return keyed.select("uid", "text").mapInArrow(_grouped(task), "uid long, gram long, place long")
+    return packed.mapInArrow(_grouped(task), "uid long, gram long, place long")
 
 
 def _grouped(task):
@@ -241,18 +275,16 @@ _CONTEXTS = pa.schema([("gram", pa.int64()), ("digest", pa.binary()), ("start",
 CONTEXT_COLUMNS = "gram long, digest binary, start long, size long, anchor long, uid long"
 
 
-def context_rows(held: DataFrame, length: int, gram: int) -> DataFrame:
+def context_rows(held: DataFrame, length: int) -> DataFrame:
     """The contexts of the anchors in ``places`` of every stored text, as places and digests."""
 
     def task(batches):
         def found():
             for uid, text, places in rows_of(batches, "uid", "text:raw", "places"):
-                wanted = np.unique(np.array(places, np.int64))
-                for hashes, place, first, last in anchors_of(text, length, gram):
-                    for k in np.flatnonzero(np.isin(place, wanted)).tolist():
-                        start, end = int(first[k]), int(last[k]) + length
-                        digest = xxhash.xxh3_128_digest(text[start:end])
-                        yield int(hashes[k]), digest, start, end - start, int(place[k]) - start, uid
+                for gram, place in {(p["gram"], p["place"]) for p in places}:
+                    start, offset, more = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+                    size = more + length
+                    yield gram, xxhash.xxh3_128_digest(text[start : start + size]), start, size, offset, uid
 
         yield from batched(found(), _CONTEXTS)
 
@@ -415,17 +447,19 @@ def cut_texts(
 ) -> DataFrame:
     """uid, n_removed, n_spans and the bytes left, one row for each distinct document that loses bytes."""
     keyed = _keyed(docs)
-    rows = anchor_rows(keyed, length, gram)
-    shared = rows.groupBy("gram").count().where("count > 1").select("gram")
-    places = rows.join(shared, "gram").groupBy("uid").agg(F.collect_list("place").alias("places"))
+    packed = packed_anchors(keyed, length, gram)
+    # Stored, like the spans below, so that a gram or passage found everywhere is a skewed join that Spark can split.
+    shared = cut_lineage(gram_rows(packed).groupBy("gram").count().where("count > 1").select("gram"))
+    found = anchor_rows(packed).join(shared, "gram")
+    places = found.groupBy("uid").agg(F.collect_list(F.struct("gram", "place")).alias("places"))
     held = cut_lineage(keyed.select("uid", "text").join(places, "uid"))
-    contexts = cut_lineage(context_rows(held, length, gram))
+    contexts = cut_lineage(context_rows(held, length))
     occurrence = F.min(F.struct("uid", "start", "size", "anchor"))
     distinct = contexts.groupBy("gram", "digest").agg(occurrence.alias("o"), (F.count("*") > 1).alias("several"))
     once = held.dropDuplicates(["uid"])
     texts = cut_lineage(context_texts(once, distinct.select("gram", "digest", "several", "o.*"), gram))
     dealt = _split_hot(texts, length, hot_gram).repartition("gram").sortWithinPartitions("gram")
-    spans = dealt.mapInArrow(_indexed(length, block_bytes), "digest binary, low long, high long").distinct()
+    spans = cut_lineage(dealt.mapInArrow(_indexed(length, block_bytes), "digest binary, low long, high long").distinct())
     placed = contexts.join(spans, "digest").select(
         "uid", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("s")
     )
