@@ -1,10 +1,10 @@
 """Near-equal lines, found by SimHash blocks and verified by edit similarity. Built-in functions only.
 
 Lines are normalised (lower case, runs of letters and digits joined by one space), equal ones are one line from the start.
-A line's SimHash counts, by one aggregation, the bits of the hashes of each word with the next one (the last alone): single
-words would not do, since long lines of one language agree in them without being alike. Two hashes at three bits or fewer agree
-in at least two of five blocks, so two blocks at a time are the join key. A link needs ``MAX_BITS`` bits or fewer and an
-edit similarity of ``SIMILARITY`` or more.
+A line's SimHash counts, by one aggregation, the bits of the hashes of its words, each weighted by its length: long words tell
+lines of one language apart, short ones are in all of them. Two hashes at ``MAX_BITS`` bits or fewer agree in at least two of
+seven blocks, so two blocks at a time are the join key. A link needs that and an edit similarity of ``SIMILARITY`` or more;
+how many pairs of that similarity are linked is measured in the README.
 
 Crowded keys do not give all their pairs. Every member is first compared with the key's smallest hash; the links found
 merge most of a crowd, and only members of different groups are then compared with each other. No group that the links
@@ -23,17 +23,20 @@ from pyspark.sql import functions as F
 from charlascope.llm.components import components
 from charlascope.session import cut_lineage
 
-MAX_BITS = 3
-BLOCKS = 5
+MAX_BITS = 5
+BLOCKS = 7
 SIMILARITY = 0.8
-# Words of a line whose counters of four bits share a 64-bit number; longer lines are counted again with wider ones.
-PART_WORDS = 30_000
+# Most that a word weighs; a word of up to four letters weighs 1, each further letter 1 more.
+MOST_WEIGHT = 8
+# Words of a line whose counters of four bits share a 64-bit number; longer lines are counted again with wider ones. Their
+# weights must stay below 2**15.
+PART_WORDS = 4_088
 # Neighbouring words that one row of the count holds; divides PART_WORDS.
 STEP_WORDS = 8
 # Edits tried first: a narrow band proves most links of long lines without the full table.
 NARROW_EDITS = (8, 40, 200, 1000)
-# Documents whose line numbers may be broadcast to the scan of the texts: about 100 bytes each; more are joined by shuffle.
-BROADCAST_DOCS = 500_000
+# Bytes of line numbers and digests that may be broadcast to the scan of the texts; more are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
@@ -67,17 +70,17 @@ def _once(value: Column) -> Column:
 
 
 def _counters(width: int) -> list[Column]:
-    """Sums of the bits of ``h0``, ``h1``, ..., each in ``width`` bits of a 64-bit number: bits i, i + width, ... in ``c{i}``."""
+    """Sums of the bits of ``h0``, ``h1``, ..., times ``w0``, ``w1``, ..., each in ``width`` bits of a 64-bit number: bits i, i + width, ... in ``c{i}``."""
     lanes = sum(1 << b for b in range(0, 64, width))
 
     def bits(i: int) -> Column:
-        return reduce(add, [F.shiftright(f"h{k}", i).bitwiseAND(F.lit(lanes)) for k in range(STEP_WORDS)])
+        return reduce(add, [F.shiftright(f"h{k}", i).bitwiseAND(F.lit(lanes)) * F.col(f"w{k}") for k in range(STEP_WORDS)])
 
     return [F.sum(bits(i)).alias(f"c{i}") for i in range(width)]
 
 
 def _majority(width: int) -> Column:
-    """Bits set in more than half of ``n`` hashes.
+    """Bits set in more than half of the weight ``n``.
 
     Each counter gets its distance to the half of n added, so that its last bit but one tells the majority.
     """
@@ -101,11 +104,13 @@ def _counted(documents: DataFrame, width: int, part_words: int) -> DataFrame:
     steps = keyed.select(*place, F.col("node")[0].alias("n0"), F.col("node")[1].alias("n1"), "words", "size",
                          F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(STEP_WORDS))).alias("pos"))
     part = F.floor(F.col("pos") / part_words).cast("int").alias("part")
-    pairs = [F.xxhash64(F.get("words", F.col("pos") + k), F.get("words", F.col("pos") + k + 1)) for k in range(STEP_WORDS)]
-    hashes = [F.when(F.col("pos") + k < F.col("size"), h).otherwise(F.lit(0)).alias(f"h{k}") for k, h in enumerate(pairs)]
-    here = F.least(F.lit(STEP_WORDS), F.col("size") - F.col("pos")).alias("here")
-    hashed = steps.select(*place, "n0", "n1", part, here, *hashes)
-    counted = hashed.groupBy(*place, "n0", "n1", "part").agg(F.sum("here").alias("n"), *_counters(width))
+    words = [F.get("words", F.col("pos") + k) for k in range(STEP_WORDS)]
+    hashes = [F.xxhash64(w).alias(f"h{k}") for k, w in enumerate(words)]
+    weight = lambda w: F.greatest(F.lit(1), F.least(F.lit(MOST_WEIGHT), F.length(w) - 3))
+    weights = [F.when(w.isNull(), 0).otherwise(weight(w)).cast("long").alias(f"w{k}") for k, w in enumerate(words)]
+    hashed = steps.select(*place, "n0", "n1", part, *hashes, *weights)
+    total = F.sum(reduce(add, [F.col(f"w{k}") for k in range(STEP_WORDS)])).alias("n")
+    counted = hashed.groupBy(*place, "n0", "n1", "part").agg(total, *_counters(width))
     node = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("n0", "n1")])).alias("node")
     return counted.select(*place, node, "part", _majority(width).alias("hash"))
 
@@ -152,10 +157,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").where(short).where(near).select("a", "b")
 
 
+def _small(rows: DataFrame, items: str, item_bytes: int) -> bool:
+    """Whether rows with a list column may be broadcast."""
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(items)), F.lit(0))).first()
+    return 64 * count + item_bytes * total <= BROADCAST_BYTES
+
+
 def _lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts joined with one row per document; the rows are broadcast while there are few."""
-    few = wanted.count() <= BROADCAST_DOCS
-    side = F.broadcast(wanted) if few else wanted
+    """Texts joined with one row per document; the rows are broadcast while they are small."""
+    side = F.broadcast(wanted) if _small(wanted, "wanted", 40) else wanted
     return _documents(docs).join(side, ["uid"], "inner")
 
 
@@ -224,7 +234,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def _with_gone(docs: DataFrame, similarity: float) -> DataFrame:
     """``docs`` with its lines and the numbers of those to drop, as ``__lines`` and ``__gone``."""
     gone = cut_lineage(removals(docs, similarity))
-    few = gone.count() <= BROADCAST_DOCS
+    few = _small(gone, "gone", 8)
     side = gone.select(F.col("uid").alias("__uid"), F.col("gone").alias("__gone"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     joined = keyed.join(F.broadcast(side) if few else side, F.col("__key") == F.col("__uid"), "left")

@@ -17,10 +17,9 @@ def norm(line):
 
 def simhash(text):
     words = text.split(" ")
-    first = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    pairs = [xxhash.xxh64_intdigest(w.encode(), seed=h) for h, w in zip(first, words[1:])] + first[-1:]
-    hashes = np.array(pairs, np.uint64)
-    return sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(words))
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words], np.uint64)
+    weights = np.array([max(1, min(8, len(w) - 3)) for w in words])
+    return sum(1 << b for b in range(64) if 2 * int(weights[(hashes >> np.uint64(b) & np.uint64(1)) == 1].sum()) > weights.sum())
 
 
 def distance(a, b):
@@ -48,7 +47,7 @@ def brute(docs):
 
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if (hashes[a] ^ hashes[b]).bit_count() <= 3 and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-6):
+            if (hashes[a] ^ hashes[b]).bit_count() <= 5 and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-6):
                 root[find(a)] = find(b)
     first, gone = {}, {}
     for doc_id, n, text in sorted(found, key=lambda f: f[:2]):
@@ -78,9 +77,9 @@ def corpus():
     return docs + [(100, None), (101, ""), (102, "\n\n"), (103, docs[5][1])]
 
 
-@pytest.mark.parametrize("broadcast", [500_000, -1])
+@pytest.mark.parametrize("broadcast", [32_000_000, -1])
 def test_equals_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(lines, "BROADCAST_DOCS", broadcast)
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", broadcast)
     docs = corpus()
     expected = brute(docs)
     frame = spark.createDataFrame([(i, t, "g", 3) for i, t in docs], DOCS)
@@ -97,7 +96,7 @@ def test_equals_brute_force(spark, monkeypatch, broadcast):
 
 def test_long_lines_and_packed_counters(spark, monkeypatch):
     rng = random.Random(3)
-    texts = [" ".join(f"v{rng.randrange(50)}" for _ in range(n)) for n in (1, 2, 3, 64, 65, 900, 31_000)]
+    texts = [" ".join(f"v{rng.randrange(50)}" for _ in range(n)) for n in (1, 2, 3, 64, 65, 900, 4_088, 4_089, 31_000)]
     frame = spark.createDataFrame([(i, t, "g", 1) for i, t in enumerate(texts)], DOCS)
     found = {r["doc_id"]: r["hash"] & ((1 << 64) - 1) for r in lines.line_rows(frame).collect()}
     assert found == {i: simhash(t) for i, t in enumerate(texts)}
@@ -111,6 +110,27 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert lines.drop_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_recall_against_edit_similarity_alone(spark):
+    """Lines of 10 to 60 words with one to three of them changed, which leaves an edit similarity of 0.8 or more."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeghilmnorstu") for _ in range(int(rng.triangular(2, 14, 5))))
+    pairs = []
+    while len(pairs) < 300:
+        line = [word() for _ in range(rng.randrange(10, 60))]
+        other = line[:]
+        for _ in range(rng.randrange(1, 4)):
+            other[rng.randrange(len(other))] = word()
+        a, b = " ".join(line), " ".join(other)
+        if a != b and distance(a, b) <= 0.2 * max(len(a), len(b)):
+            pairs.append((a, b))
+    rows = [(2 * i + k, text, "g", 1) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    out = lines.line_counts(spark.createDataFrame(rows, DOCS)).collect()
+    gone = sum(r["n_removed"] for r in out if r["doc_id"] % 2)
+    assert sum(r["n_removed"] for r in out if r["doc_id"] % 2 == 0) == 0
+    # Far from all: the README gives the recall on the given tables.
+    assert gone / len(pairs) > 0.3
+
+
 def test_no_python_in_the_plan(spark):
     plan = lines.line_counts(spark.createDataFrame([(1, "a b", "b", 1)], DOCS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
