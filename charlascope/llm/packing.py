@@ -28,7 +28,7 @@ MAX_SEGMENTS = 256
 BLOCK_EXAMPLES = 2048
 BLOCK_IDS = 4_000_000
 # Words whose ids a Python worker keeps; about 200 bytes each.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 60_000
 SLICE = 1 << 20
 SEQUENCE_BITS = 36
 

@@ -208,6 +208,9 @@ def _featured(frame: DataFrame, lexicon: Lexicon, keys: tuple[str, ...], text: i
             texts = batch.column("text") if text is None else batch.column(keys[0]).field(text)
             dense = pa.array([features(t.as_py(), words) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*map(batch.column, keys), dense], [*keys, "dense"])
+            del batch, texts, dense
+        # Workers outlive their tasks; what whole rows took goes back to the system.
+        pa.default_memory_pool().release_unused()
 
     kept = frame.select(*keys)
     out = frame.select(*keys, *["text"] * (text is None)).mapInArrow(
