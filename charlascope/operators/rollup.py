@@ -117,11 +117,13 @@ def new_phrases(report: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def summary_lines(report: DataFrame) -> DataFrame:
-    """A readable summary as rows ``(section, ord, line)``: topics with their cases, decisions, improvements and
-    phrases, then topic and intent pairs with their decisions."""
-    by_count = lambda counts, keys: counts.groupBy(*keys).agg(
+    """A readable summary as rows ``(section, ord, line)``: the total in a section without a name, topics with their
+    cases, decisions (most frequent first), improvements and phrases, then topic and intent pairs with their decisions
+    (first seen first)."""
+    neg = (-F.col("n")).alias("neg")
+    sorted_by = lambda counts, keys, *order: counts.groupBy(*keys).agg(
         # One entry per decision label.
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "first_ord", "decision"))).alias("d")
+        F.array_sort(F.collect_list(F.struct(*order, "decision"))).alias("d")
     )
     joined = lambda column: F.array_join(
         F.transform(column, lambda d: F.format_string("%s(%d)", d["decision"], -d["neg"])), ", "
@@ -130,7 +132,7 @@ def summary_lines(report: DataFrame) -> DataFrame:
     heads = flows.select(
         "flow", F.lit(0).alias("part"), F.lit(0).alias("item"), F.concat(F.lit("cases: "), "cases").alias("line")
     )
-    decided = by_count(decision_counts(report, BY_FLOW), BY_FLOW).select(
+    decided = sorted_by(decision_counts(report, BY_FLOW), BY_FLOW, neg, "first_ord").select(
         "flow", F.lit(1).alias("part"), F.lit(0).alias("item"), F.concat(F.lit("decisions: "), joined(F.col("d"))).alias("line")
     )
     improved = (
@@ -152,7 +154,7 @@ def summary_lines(report: DataFrame) -> DataFrame:
     topic_lines = heads.unionByName(decided).unionByName(improved).unionByName(proposed)
     pair_lines = (
         case_counts(report, BY_INTENT)
-        .join(by_count(decision_counts(report, BY_INTENT), BY_INTENT), list(BY_INTENT), "left")
+        .join(sorted_by(decision_counts(report, BY_INTENT), BY_INTENT, "first_ord", neg), list(BY_INTENT), "left")
         .select(
             F.concat_ws("|", "flow", "intent").alias("section"),
             F.lit(1).alias("ord"),
@@ -162,7 +164,10 @@ def summary_lines(report: DataFrame) -> DataFrame:
     place = Window.partitionBy("flow").orderBy("part", "item")
     # At most 2 + 15 + 10 lines per topic.
     placed = topic_lines.select(F.col("flow").alias("section"), F.row_number().over(place).alias("ord"), "line")
-    return placed.unionByName(pair_lines)
+    total = total_cases(report).select(
+        F.lit("").alias("section"), F.lit(0).alias("ord"), F.concat(F.lit("total cases: "), "cases").alias("line")
+    )
+    return total.unionByName(placed).unionByName(pair_lines)
 
 
 def _phrase_lines(report: DataFrame) -> DataFrame:

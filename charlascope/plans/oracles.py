@@ -11,6 +11,7 @@ from charlascope.settings import (
     MAX_FEATURES,
     NEUTRAL_FLOWS,
     OFF_DOMAIN_WORDS,
+    REPORT_COLUMNS,
     SLOT_PATTERNS,
     TOP_INTENTS,
 )
@@ -322,8 +323,8 @@ _RULES = (
 
 
 def _summary() -> str:
-    decisions = lambda keys: (
-        f"select {keys}, string_agg(decision || '(' || n || ')', ', ' order by n desc, f) as d from"
+    decisions = lambda keys, order: (
+        f"select {keys}, string_agg(decision || '(' || n || ')', ', ' order by {order}) as d from"
         f" (select {keys}, decision, count(*) as n, min(ord) as f from report where decision <> '' group by {keys}, decision) c"
         f" group by {keys}"
     )
@@ -333,7 +334,7 @@ def _summary() -> str:
         f"""
 , lines as (
   select flow, 0 as part, 0 as item, 'cases: ' || n as line from ({counts('flow')}) a
-  union all select flow, 1, 0, 'decisions: ' || d from ({decisions('flow')}) b
+  union all select flow, 1, 0, 'decisions: ' || d from ({decisions('flow', 'n desc, f')}) b
   union all select flow, 2, pos, 'improvement: ' || improvement
     from ({_first_seen('flow', 'improvement', 'improved', '(ord, nth)', 'improvement')}) c where pos <= 15
   union all select flow, 3, item, 'phrases: ' || intent_key || ': ' || shown || case when n > 5 then '...' else '' end from (
@@ -341,14 +342,73 @@ def _summary() -> str:
       string_agg(phrase, ' / ' order by pos) filter (pos <= 5) as shown
     from (select *, row_number() over (partition by flow, intent_key order by place) as pos from phrase_places) q
     group by flow, intent_key) d where item <= 10)
+select '' as section, 0 as ord, 'total cases: ' || count(*) as line from report
+union all
 select flow as section, cast(row_number() over (partition by flow order by part, item) as int) as ord, line from lines
 union all
 select c.flow || '|' || c.intent, 1, 'cases: ' || c.n || ', decisions: ' || coalesce(d.d, '')
-from ({counts('flow, intent')}) c left join ({decisions('flow, intent')}) d on d.flow = c.flow and d.intent = c.intent""",
+from ({counts('flow, intent')}) c left join ({decisions('flow, intent', 'f')}) d on d.flow = c.flow and d.intent = c.intent""",
+    )
+
+
+def _round_trips(chat_turns: str) -> dict[str, str]:
+    sunk = (
+        "case_id, split_part(case_id, ':', 1) as session_id, texto as mensaje_no_match, 'no entendi' as bot_no_match_text,"
+        " flow_ref, decision, flow_recommended, intent_top, case when slots = '' then '[]' else '[\"' ||"
+        " replace(slots, ',', '\",\"') || '\"]' end as slot_signals, improvements, new_training_phrases, confidence, review_flag"
+    )
+    in_order = _with(REPORT, f"select row_number() over (order by ord) as pos, {sunk} from report")
+    body = lambda section, keys, name: (
+        f"select '{section}' as section, {name} as key, count(*) as cases,"
+        " md5(coalesce(string_agg(decision, ',' order by ord) filter (decision <> ''), '')) as decisions_md5"
+        f" from report group by {keys}"
     )
+    counts = lambda keys, name: (
+        f"select {name} as key, string_agg(decision || ':' || n, ',' order by f) as counts from (select {keys}, decision,"
+        f" count(*) as n, min(ord) as f from report where decision <> '' group by {keys}, decision) c group by {keys}"
+    )
+    improved = lambda keys, name: (
+        f"select {name} as key, md5(string_agg(improvement, '|' order by pos)) as improvements_md5"
+        f" from ({_first_seen(keys, 'improvement', 'improved', '(ord, nth)', 'improvement')}) i group by {keys}"
+    )
+    part = lambda section, keys, name: (
+        "select b.section, b.key, b.cases, b.decisions_md5, coalesce(c.counts, '') as counts,"
+        f" coalesce(i.improvements_md5, md5('')) as improvements_md5 from ({body(section, keys, name)}) b"
+        f" left join ({counts(keys, name)}) c using (key) left join ({improved(keys, name)}) i using (key)"
+    )
+    return {
+        "csv_chat_turns": chat_turns,
+        "csv_event_turns": "select row_number() over (order by ord) - 1 as ord, session_id, tipo, texto, intent_detectado,"
+        f" starts_with(upper(intent_detectado), 'NO_MATCH') as is_no_match from ({LONG_CHATS}) c",
+        "csv_chat_preview": "select case when turn_index = 0 then session_id else '' end as session_id, tipo as tipo_mensaje,"
+        f" texto as ds_wts_message, intent_detectado as ds_wts_intent from ({CHATS}) c",
+        "csv_training": _with(
+            BLOCKS,
+            "select ord - 1 as row_id, intent, split_part(intent, '_', 1) as flow, coalesce(language_raw, 'es') as language,"
+            " length(text) as n_chars from filled",
+        ),
+        "csv_training_preview": _with(BLOCKS, "select ord - 1 as row_id, intent, language from filled"),
+        "cases_round_trip": in_order,
+        "audit_round_trip": in_order,
+        "debug_round_trip": _with(
+            REPORT, "select replace(case_id, ':', '_') as debug_id, case_id, decision, confidence, review_flag from report"
+        ),
+        "empty_report_files": f"select 'case file' as part, '{','.join(REPORT_COLUMNS)}' as line union all select 'cases', '0'",
+        "rollup_documents": _with(
+            REPORT,
+            "select 'total_casos_no_match' as section, '' as key, count(*) as cases, md5('') as decisions_md5, '' as counts,"
+            f" md5('') as improvements_md5 from report union all {part('por_flow', 'flow', 'flow')}"
+            " union all " + part("por_intent", "flow, intent", "flow || '|' || intent"),
+        ),
+    }
 
 
 def registered() -> dict[str, str]:
+    found = _queries()
+    return found | _round_trips(found["chat_turns"])
+
+
+def _queries() -> dict[str, str]:
     retrieval_rows = RETRIEVAL + _CHAT_ROWS
     open_rows = (
         "(select *, 'AMBIGUOUS' as decision, 0.5 as confidence, true as review_flag from chat_rows) o"

@@ -14,7 +14,7 @@ from charlascope.operators.report import case_report
 from charlascope.operators.turns import build_turns, number_turns
 from charlascope.operators.validate import post_validate
 from charlascope.functions.text import normalize_text
-from charlascope.plans import fixtures
+from charlascope.plans import fixtures, round_trips
 from charlascope.plans.pipeline import analyze, case_features
 from charlascope.session import cut_lineage
 from charlascope.sources.training import clean_training, fill_preview
@@ -296,4 +296,4 @@ def registered() -> dict[str, Query]:
         "review_sample_by_decision": _on_report(
             lambda r: metrics.review_sample(r, per_decision=True).select("case_id", "decision")
         ),
-    }
+    } | round_trips.registered()

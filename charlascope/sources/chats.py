@@ -34,12 +34,12 @@ def clean_chats(rows: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFra
     return filled.filter(F.col("session_id").isNotNull()), filled.filter(F.col("session_id").isNull())
 
 
-def load_chats(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+def load_chats(spark: SparkSession, path: str, multiline: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected chat rows of a CSV file or folder, with their file order in ``ord``."""
     return clean_chats(scan_csv_in_order(spark, path, multiline=multiline))
 
 
-def load_turns(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def load_turns(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """The turn table of a CSV file or folder."""
     accepted, _ = load_chats(spark, path, multiline)
     return build_turns(number_turns(accepted, ["ord"]))

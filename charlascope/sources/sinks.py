@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charlascope.operators import rollup
+from charlascope.operators.order import number_rows
 from charlascope.operators.report import REPORT_SCHEMA
 from charlascope.settings import REPORT_COLUMNS
 
@@ -62,6 +63,7 @@ def write_rollups(report: DataFrame, folder: str, document: bool = False) -> Non
     }
     for name, table in tables.items():
         table.write.mode("overwrite").json(f"{folder}/{ROLLUP}/{name}")
+    write_documents(report, folder)
     if document:
         nested_rollup(report).write.mode("overwrite").text(f"{folder}/{ROLLUP}/document")
 
@@ -86,12 +88,68 @@ def write_reports(
 
 def read_cases(spark: SparkSession, folder: str) -> DataFrame:
     """The case report as written by ``write_cases``; the report has no nulls, so empty cells are empty texts."""
-    rows = spark.read.schema(REPORT_SCHEMA).csv(f"{folder}/{CASES}", header=True, multiLine=True, quote='"', escape='"')
-    return rows.na.fill("")
+    return _case_rows(spark, folder).na.fill("")
+
+
+def _case_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(REPORT_SCHEMA).csv(f"{folder}/{CASES}", header=True, multiLine=True, quote='"', escape='"')
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    placed = rows.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return number_rows(placed, ["_path", "_start", "_at"], out="pos", start=1).select(*rows.columns, "pos")
+
+
+def read_cases_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The case report with each row's place in the files, from 1, as ``pos``."""
+    return _in_file_order(_case_rows(spark, folder)).na.fill("")
+
+
+def read_audit_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit lines with their places in the files, from 1, as ``pos``."""
+    return _in_file_order(spark.read.schema(REPORT_SCHEMA).json(f"{folder}/{AUDIT}"))
+
+
+def write_documents(report: DataFrame, folder: str) -> None:
+    """The roll-ups as one JSON line per topic and per topic and intent, in order of section and key."""
+    rollup_documents(report).orderBy("section", "key").write.mode("overwrite").json(f"{folder}/{ROLLUP}/documents")
 
 
 def nested_rollup(report: DataFrame) -> DataFrame:
-    """One JSON document of both roll-ups; only for reports small enough to be one value."""
+    """One JSON document of both roll-ups; only for reports small enough to be one value.
+
+    ``rollup_documents`` gives the same parts as rows.
+    """
+    flows, pairs = _bodies(report)
+    as_map = lambda table, key, name: table.agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("v"))), _by_key)).alias(name)
+    )
+    one = F.lit(1).alias("one")
+    whole = (
+        rollup.total_cases(report)
+        .select(one, F.col("cases").alias("total_casos_no_match"))
+        .join(as_map(flows, F.col("flow"), "por_flow").select(one, "por_flow"), "one")
+        .join(as_map(pairs, F.concat_ws("|", "flow", "intent"), "por_intent").select(one, "por_intent"), "one")
+    )
+    return whole.select(F.to_json(F.struct("total_casos_no_match", "por_flow", "por_intent")).alias("value"))
+
+
+def rollup_documents(report: DataFrame) -> DataFrame:
+    """``(section, key, value)``: the total, and a JSON value for every topic and every topic and intent."""
+    flows, pairs = _bodies(report)
+    row = lambda section, key, value: (F.lit(section).alias("section"), key.alias("key"), value.alias("value"))
+    total = rollup.total_cases(report).select(*row("total_casos_no_match", F.lit(""), F.col("cases").cast("string")))
+    by_flow = flows.select(*row("por_flow", F.col("flow"), F.to_json("v")))
+    return total.unionByName(by_flow).unionByName(
+        pairs.select(*row("por_intent", F.concat_ws("|", "flow", "intent"), F.to_json("v")))
+    )
+
+
+def _bodies(report: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(flow, v)`` and ``(flow, intent, v)``: the roll-up of each group as one struct."""
     by_flow, by_intent = rollup.BY_FLOW, rollup.BY_INTENT
 
     def listed(table: DataFrame, keys: tuple[str, ...], value: str, place: str, name: str) -> DataFrame:
@@ -146,21 +204,9 @@ def nested_rollup(report: DataFrame) -> DataFrame:
     intent_value = F.struct(
         "flow", "intent", *shared, F.coalesce("mensajes_no_match_sample", empty_list).alias("mensajes_no_match_sample"), improved
     )
-    as_map = lambda table, key, value, name: table.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v"))), _by_key)).alias(name)
-    )
-    flows = as_map(body(by_flow, "mensajes_no_match", [intents, phrases]), F.col("flow"), flow_value, "por_flow")
-    pairs = as_map(
-        body(by_intent, "mensajes_no_match_sample", []), F.concat_ws("|", "flow", "intent"), intent_value, "por_intent"
-    )
-    one = F.lit(1).alias("one")
-    whole = (
-        rollup.total_cases(report)
-        .select(one, F.col("cases").alias("total_casos_no_match"))
-        .join(flows.select(one, "por_flow"), "one")
-        .join(pairs.select(one, "por_intent"), "one")
-    )
-    return whole.select(F.to_json(F.struct("total_casos_no_match", "por_flow", "por_intent")).alias("value"))
+    flows = body(by_flow, "mensajes_no_match", [intents, phrases]).select("flow", flow_value.alias("v"))
+    pairs = body(by_intent, "mensajes_no_match_sample", []).select("flow", "intent", intent_value.alias("v"))
+    return flows, pairs
 
 
 def _by_key(left, right):

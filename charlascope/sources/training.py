@@ -55,7 +55,7 @@ def clean_training(rows: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
-def load_training(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def load_training(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     return clean_training(scan_csv_in_order(spark, path, multiline=multiline))
 
 
