@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlascope.session import cut_lineage
+from charlascope.session import cut_lineage, work_partitions
 from charlascope.settings import HOT_ROWS
 
 
@@ -58,28 +58,30 @@ def _number_runs(frame: DataFrame, keys: list[str], order: list[str], out: str,
     )
 
 
-def forward_fill(
-    frame: DataFrame, columns: Sequence[str], order: str, block_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Replace nulls by the last earlier value over the whole table, in the order of a bigint column.
+def forward_fill(frame: DataFrame, columns: Sequence[str], order: str, runs: int | None = None) -> DataFrame:
+    """Replace nulls by the last earlier value over the whole table, in the order of a column without nulls or ties.
 
-    Rows are cut into blocks of the order column; a block fills itself, and a table with one row per block carries
-    values across block borders.
+    A prefix scan over narrow rows: the order and the columns to fill are sorted into ``runs`` ranges, each range fills
+    itself, and a table with the last values of every range carries them over its border. Other columns, such as texts,
+    are joined once by the order. The order need not be dense.
     """
-    block = F.floor(F.col(order) / F.lit(block_rows))
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocked = frame.withColumn("_block", block)
+    ranges = runs or work_partitions(frame.sparkSession)
+    sorted_rows = frame.select(order, *columns).repartitionByRange(ranges, order).sortWithinPartitions(order)
+    stored = cut_lineage(sorted_rows.withColumn("_run", F.spark_partition_id()))
+    inside = Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
 
     def latest(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(f"_tail_{name}")
 
-    # One row per block_rows input rows: small enough for one task and for a broadcast.
-    tails = blocked.groupBy("_block").agg(*[latest(name) for name in columns])
+    # One row per range: ``ranges`` at most, whatever the size of the table.
+    tails = stored.groupBy("_run").agg(*[latest(name) for name in columns])
     carry = tails.select(
-        "_block", *[F.last(f"_tail_{name}", ignorenulls=True).over(before).alias(f"_carry_{name}") for name in columns]
+        "_run", *[F.last(f"_tail_{name}", ignorenulls=True).over(before).alias(f"_carry_{name}") for name in columns]
     )
-    filled = blocked.join(F.broadcast(carry), "_block", "left").withColumns(
-        {name: F.coalesce(F.last(name, ignorenulls=True).over(inside), f"_carry_{name}") for name in columns}
+    filled = stored.join(F.broadcast(carry), "_run", "left").select(
+        order, *[F.coalesce(F.last(name, ignorenulls=True).over(inside), f"_carry_{name}").alias(name) for name in columns]
     )
-    return filled.select(*frame.columns)
+    rest = [name for name in frame.columns if name not in columns]
+    whole = filled if rest == [order] else frame.select(*rest).join(filled, order)
+    return whole.select(*frame.columns)

@@ -26,13 +26,19 @@ def test_numbering_of_a_whole_table(spark):
     assert number_rows(frame.limit(0), ["x"]).count() == 0
 
 
-@pytest.mark.parametrize("block_rows", [1, 7, 10_000])
-def test_forward_fill_over_blocks(spark, block_rows):
-    rng = random.Random(block_rows)
-    rows = [(i, rng.choice([None, None, None, f"v{i}"]) if i > 5 else None, rng.choice([None, i])) for i in range(300)]
+@pytest.mark.parametrize("runs", [1, 7, 90])
+def test_forward_fill_over_ranges_of_a_sparse_order(spark, runs):
+    rng = random.Random(runs)
+    places = sorted(rng.sample(range(-(10**12), 10**12), 300))
+    rows = [(o, rng.choice([None, None, None, f"v{i}"]) if i > 5 else None, rng.choice([None, i]), f"t{i}") for i, o in enumerate(places)]
     expected, a, b = [], None, None
-    for i, x, y in rows:
+    for o, x, y, t in rows:
         a, b = x if x is not None else a, y if y is not None else b
-        expected.append((i, a, b))
-    frame = spark.createDataFrame(rows, "o bigint, a string, b int").repartition(5)
-    assert sorted(map(tuple, forward_fill(frame, ["a", "b"], "o", block_rows).collect())) == expected
+        expected.append((o, a, b, t))
+    frame = spark.createDataFrame(rows, "o bigint, a string, b int, text string").repartition(5)
+    filled = forward_fill(frame, ["a", "b"], "o", runs)
+    assert filled.columns == frame.columns
+    assert sorted(map(tuple, filled.collect())) == expected
+    narrow = forward_fill(frame.select("o", "a"), ["a"], "o", runs)
+    assert sorted(map(tuple, narrow.collect())) == [e[:2] for e in expected]
+    assert forward_fill(frame.limit(0), ["a", "b"], "o").count() == 0
