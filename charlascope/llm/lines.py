@@ -130,15 +130,17 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def _crowds(lines: DataFrame) -> DataFrame:
-    """(key, hash, least): hashes that share two blocks with another one, and the least hash there.
+    """(key, hash, least): hashes that share two blocks with one at ``MAX_BITS`` bits or fewer, and the least such hash there.
 
     The bits outside the blocks are set in the key. Should two pairs of blocks give one key, hashes are compared in vain.
+    Both sides of the join are the same rows, so that they are shuffled once; only hashes with a neighbour are stored.
     """
     keys = F.array(*[F.col("hash").bitwiseOR(F.lit(~m)) for m in block_masks()])
     keyed = lines.select("hash").distinct().select("hash", F.explode(F.array_distinct(keys)).alias("key"))
-    together = Window.partitionBy("key")
-    ends = keyed.withColumn("least", F.min("hash").over(together)).withColumn("most", F.max("hash").over(together))
-    return ends.where("least < most").select("key", "hash", "least")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    close = (F.col("x.hash") != F.col("y.hash")) & (_bits("x.hash", "y.hash") <= MAX_BITS)
+    near = cut_lineage(x.join(y, (F.col("x.key") == F.col("y.key")) & close, "left_semi"))
+    return near.withColumn("least", F.min("hash").over(Window.partitionBy("key")))
 
 
 def _bits(a: str, b: str) -> Column:
@@ -172,12 +174,6 @@ def _lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of lines that links join with others; ``lines`` are the stored rows of ``docs``."""
     crowds = cut_lineage(_crowds(lines))
-    near = crowds.alias("x").join(
-        crowds.select("key", F.col("hash").alias("other")).alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("hash") != F.col("other")) & (_bits("hash", "other") <= MAX_BITS),
-        "left_semi",
-    )
-    crowds = cut_lineage(near.select("key", "hash", "least"))
     by_hash = lines.select("hash", "node", "uid", "line_no")
     twins = by_hash.groupBy("hash").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     twins = twins.where("first < last").select("hash")

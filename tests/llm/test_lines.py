@@ -111,12 +111,12 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
 
 
 def test_recall_against_edit_similarity_alone(spark):
-    """Lines of 10 to 60 words with one to three of them changed, which leaves an edit similarity of 0.8 or more."""
+    """Lines of 10 to 40 words with one to three of them changed, which leaves an edit similarity of 0.8 or more."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdeghilmnorstu") for _ in range(int(rng.triangular(2, 14, 5))))
     pairs = []
-    while len(pairs) < 300:
-        line = [word() for _ in range(rng.randrange(10, 60))]
+    while len(pairs) < 100:
+        line = [word() for _ in range(rng.randrange(10, 40))]
         other = line[:]
         for _ in range(rng.randrange(1, 4)):
             other[rng.randrange(len(other))] = word()
