@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charlascope.functions.numbers import round_half_even
 from charlascope.functions.text import contains_any, strip, word_count_at_most
 from charlascope.operators.judge import flow_known, max_evidence_sim, strong_in_flow
 from charlascope.settings import OFF_DOMAIN_WORDS, STRONG_MATCH, WEAK_MATCH
@@ -24,7 +25,7 @@ def post_validate(
     """Correct ``decision``, ``confidence`` and ``review_flag`` of rows whose ``judged`` is ``yes`` or ``rules``.
 
     A new-intent decision despite a strong match in the active topic, and a short slot value not decided as a missing
-    parameter, lower the confidence and ask for review. A text with an off-domain word and no evidence becomes
+    parameter, lower the confidence and ask for review. Confidences are rounded to two decimals by their binary value. A text with an off-domain word and no evidence becomes
     OUT_OF_SCOPE and needs no review; its confidence is raised only with ``oos_confidence``.
     """
     decision = strip(F.coalesce("decision", F.lit("")))
@@ -49,7 +50,7 @@ def post_validate(
         F.when(slot_ignored, SLOT_CONTRADICTION).otherwise(F.col("confidence")),
         F.col("confidence"),
     )
-    confidence = F.round(F.when(off_domain & F.lit(oos_confidence), OUT_OF_SCOPE_CONFIDENCE).otherwise(ceiling), 2)
+    confidence = round_half_even(F.when(off_domain & F.lit(oos_confidence), OUT_OF_SCOPE_CONFIDENCE).otherwise(ceiling))
     open_to_rules = F.col("judged").isin("yes", "rules")
     return rows.withColumns(
         {

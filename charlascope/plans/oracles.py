@@ -240,8 +240,8 @@ def _validated(source: str, best: str, strong_here: str, open_rows: str) -> str:
 checked as (
   select * replace (
     case when {open_rows} and {off} then 'OUT_OF_SCOPE' else decision end as decision,
-    case when {open_rows} then round(least(confidence, case when {overlooked} then 0.6 else confidence end,
-      case when {slot_ignored} then 0.65 else confidence end), 2) else confidence end as confidence,
+    case when {open_rows} then cast(printf('%.2f', least(confidence, case when {overlooked} then 0.6 else confidence end,
+      case when {slot_ignored} then 0.65 else confidence end)) as double) else confidence end as confidence,
     case when {open_rows} then ({overlooked} or {slot_ignored}) and not {off} else review_flag end as review_flag)
   from {source})"""
 
@@ -470,6 +470,9 @@ select query_id, label, count(*) as hits,
   round(0.65 * max(sim) + 0.25 * sum(case when place <= 5 then sim else 0.0 end) / least(5, count(*))
     + 0.10 * ln(1 + count(*)), 4) as score
 from placed group by query_id, label""",
+        "confidence_rounding": (
+            "select event_id, cast(printf('%.2f', value / 8.0::double) as double) as confidence from events"
+        ),
         "judge_prompt": _with(
             f"{RETRIEVAL},{_context(False)}",
             "select c.case_id, c.case_id as payload_case_id, c.flow_ref, c.last_valid_intent,"

@@ -13,6 +13,7 @@ from charlascope.operators.order import number_rows
 from charlascope.operators.report import case_report
 from charlascope.operators.turns import build_turns, number_turns
 from charlascope.operators.validate import post_validate
+from charlascope.functions.numbers import round_half_even
 from charlascope.functions.text import normalize_text
 from charlascope.plans import fixtures, round_trips
 from charlascope.plans.pipeline import analyze, case_features
@@ -224,6 +225,12 @@ def _flat(report: DataFrame) -> DataFrame:
     )
 
 
+def confidence_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event value, cut to eighths so that many lie at or near half a hundredth, as confidences are rounded."""
+    events = fixtures.table(spark, sf_dir, "events")
+    return events.select("event_id", round_half_even(F.col("value") / 8.0).alias("confidence"))
+
+
 def case_report_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = tfidf.build_training_index(fixtures.training(spark, sf_dir))
     return _flat(analyze(fixtures.chats(spark, sf_dir), index, phrase_lists=False))
@@ -273,6 +280,7 @@ def registered() -> dict[str, Query]:
         "judge_response_parse": judge_response_parse,
         "judge_join_defaults": judge_join_defaults,
         "post_validate": validated,
+        "confidence_rounding": confidence_rounding,
         "missing_parameter_flag": missing_parameter_flag,
         "rule_decision": rule_decision,
         "case_report": case_report_open,
