@@ -2,17 +2,63 @@
 
 from __future__ import annotations
 
-import json
+import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from charlascope.operators.products import SIM_SCALE
 from charlascope.session import cut_lineage, work_partitions
 
 NEAREST = 50
+# Cells: the square root of the number of vectors, within these bounds. At most MOST_PIVOTS vectors reach the driver.
 PIVOTS = 32
+MOST_PIVOTS = 1024
 PART_ROWS = 10_000
+# Distances near zero are off by up to 1e-7, as they are roots of differences.
+_SLACK = 1e-6
+# Rows of a batch.
+_BATCH = 1000
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Cells around pivots: per cell its pivot, number of vectors, least and greatest distance from it, and parts."""
+
+    centers: np.ndarray
+    sizes: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    parts: np.ndarray
+
+    def distances(self, units: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2.0 - 2.0 * (units @ self.centers.T), 0.0))
+
+    def first(self, away: np.ndarray, k: int) -> np.ndarray:
+        """Which cells each query visits first: the nearest ones that hold ``k`` vectors together."""
+        order = np.argsort(away, axis=1, kind="stable")
+        sizes = self.sizes[order]
+        mask = np.zeros(away.shape, bool)
+        np.put_along_axis(mask, order, (np.cumsum(sizes, axis=1) - sizes < k) & (sizes > 0), axis=1)
+        return mask
+
+    def within(self, away: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Which cells can hold a vector within ``reach`` of each query.
+
+        By the triangle inequality over the pivot, and by the plane halfway to the query's own pivot, beyond which all
+        vectors of the other cell lie.
+        """
+        own = np.argmin(away, axis=1)
+        apart = self.distances(self.centers)[own]
+        gap = away**2 - np.take_along_axis(away, own[:, None], axis=1) ** 2
+        plane = np.divide(gap, 2.0 * apart, out=np.zeros_like(gap), where=apart > 1e-3)
+        least = np.maximum(np.maximum(away - self.outer, self.inner - away), plane)
+        return (least <= reach[:, None] + _SLACK) & (self.sizes > 0)
 
 
 def nearest_vectors(
@@ -20,18 +66,15 @@ def nearest_vectors(
 ) -> DataFrame:
     """The ``k`` most similar corpus vectors of each query by cosine, ties by ``vec_id``; exact.
 
-    ``queries(query_id, embedding)`` and ``corpus(vec_id, label, embedding)`` hold arrays of one length; vectors of
-    length zero have no direction and are left out. Every corpus vector belongs to the cell of its nearest pivot. The
-    triangle inequality gives each query the greatest distance its k-th neighbour can have and the least distance of
-    each cell, and only cells within reach are joined. Cells are dealt into parts of about ``part_rows`` vectors.
+    ``queries(query_id, embedding)``, one row per id, and ``corpus(vec_id, label, embedding)`` hold arrays of one
+    length; vectors of length zero have no direction and are left out. The search takes two steps. A query first meets
+    the nearest cells that hold ``k`` vectors; the k-th of those bounds the distance of its true k-th neighbour. Then
+    it meets only cells that can hold something nearer, and in them only vectors whose distance from the pivot allows
+    it. The number of cells grows with the corpus (at least ``pivots``), and cells are dealt into parts of about
+    ``part_rows`` vectors.
     """
-    sample = corpus.select("embedding").filter(_length(F.col("embedding")) > 0)
-    # `pivots` rows at most reach the driver.
-    chosen = [
-        list(row.u)
-        for row in sample.orderBy(F.xxhash64("embedding")).limit(pivots).select(_unit(F.col("embedding")).alias("u")).collect()
-    ]
-    if not chosen:
+    cells, placed = build_cells(corpus, pivots, part_rows)
+    if cells is None:
         kind = lambda name: corpus.schema[name].dataType
         return queries.limit(0).select(
             "query_id",
@@ -39,65 +82,121 @@ def nearest_vectors(
             F.lit(None).cast(kind("label")).alias("label"),
             F.lit(0.0).alias("sim"),
         )
-    centers = F.from_json(F.lit(json.dumps(chosen)), "array<array<double>>")
-    distances = lambda unit: F.transform(centers, lambda p: _distance(_dot(p, unit)))
-
-    placed = cut_lineage(
-        corpus.filter(_length(F.col("embedding")) > 0)
-        .select("vec_id", "label", _unit(F.col("embedding")).alias("u"))
-        .withColumn("_d", distances(F.col("u")))
-        .withColumn("cell", (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
-        .select("vec_id", "label", "u", "cell", F.array_min("_d").alias("away"))
-    )
-    # One row per pivot.
-    stats = {
-        row.cell: row
-        for row in placed.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("outer"), F.min("away").alias("inner"))
-        .collect()
-    }
-    cells = [
-        {"cell": c, "n": s.n, "outer": s.outer, "inner": s.inner, "parts": -(-s.n // part_rows)}
-        for c, s in sorted(stats.items())
-    ]
-    known = F.from_json(
-        F.lit(json.dumps(cells)), "array<struct<cell:int,n:bigint,outer:double,inner:double,parts:int>>"
-    )
-    slack = 1e-7
-    to_center = lambda c: F.get("_d", c["cell"])
-    # Cells by their farthest point: the one that brings the count to k bounds the k-th neighbour.
-    farthest = F.array_sort(F.transform(known, lambda c: F.struct((to_center(c) + c["outer"]).alias("far"), c["n"].alias("n"))))
-    bound = F.aggregate(
-        farthest,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("far")),
-        lambda s, c: F.when(s["n"] >= k, s).otherwise(F.struct((s["n"] + c["n"]).alias("n"), c["far"].alias("far"))),
-    )["far"]
-    near = F.filter(
-        known,
-        lambda c: F.greatest(to_center(c) - c["outer"], c["inner"] - to_center(c)) <= F.col("_bound") + slack,
-    )
-    asked = (
-        queries.filter(_length(F.col("embedding")) > 0)
-        .select("query_id", _unit(F.col("embedding")).alias("q"))
-        .withColumn("_d", distances(F.col("q")))
-        .withColumn("_bound", bound)
-        .select("query_id", "q", F.explode(near).alias("c"))
-        .select("query_id", "q", "c.cell", F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)).alias("part"))
+    asked = _directed(queries).select("query_id", _unit(F.col("embedding")).alias("q"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+    top = lambda pairs: pairs.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
+    near = cut_lineage(top(_meet(first_visits(cells, asked, k), placed)))
+    return top(near.unionByName(_meet(later_visits(cells, asked, near, k), placed)))
+
+
+def build_cells(
+    corpus: DataFrame, pivots: int = PIVOTS, part_rows: int = PART_ROWS
+) -> tuple[Cells | None, DataFrame | None]:
+    """The cells and ``(vec_id, label, u, cell, away, part)``, stored; nothing if no vector has a direction.
+
+    Every vector lies in the cell of its nearest pivot. Pivots are the different vectors of least hash, so copies of one
+    vector give one pivot.
+    """
+    directed = _directed(corpus).withColumn("_hash", F.xxhash64("embedding"))
+    wanted = min(max(math.isqrt(directed.count()), pivots), MOST_PIVOTS)
+    least = directed.select("_hash").distinct().orderBy("_hash").limit(wanted)
+    chosen = directed.join(F.broadcast(least), "_hash", "left_semi").groupBy("_hash").agg(F.first("embedding").alias("e"))
+    # At most MOST_PIVOTS rows.
+    centers = np.array([row.u for row in chosen.orderBy("_hash").select(_unit(F.col("e")).alias("u")).collect()])
+    if not len(centers):
+        return None, None
+    bare = Cells(centers, *[np.zeros(len(centers))] * 4)
+    narrow = directed.select("vec_id", "label", _unit(F.col("embedding")).alias("u"))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            away = bare.distances(_matrix(batch.column("u")))
+            cell = np.argmin(away, axis=1)
+            nearest = away[np.arange(len(cell)), cell]
+            yield _with(batch, cell=cell.astype("int32"), away=nearest)
+
+    located = cut_lineage(narrow.mapInArrow(place, _schema(narrow, cell=IntegerType(), away=DoubleType())))
+    # One row per cell.
+    found = located.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("away").alias("inner"), F.max("away").alias("outer")
     )
-    parts = F.get(F.transform(F.filter(known, lambda c: c["cell"] == F.col("cell")), lambda c: c["parts"]), F.lit(0))
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    sizes, inner, outer = (np.zeros(len(centers)) for _ in range(3))
+    for row in found.collect():
+        sizes[row.cell], inner[row.cell], outer[row.cell] = row.n, row.inner, row.outer
+    parts = np.maximum(-(-sizes // part_rows), 1).astype("int64")
+    of_cell = F.get(F.lit(parts.tolist()), F.col("cell"))
+    placed = located.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_cell).cast("int"))
+    return Cells(centers, sizes, inner, outer, parts), placed
+
+
+def first_visits(cells: Cells, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, q, reach, cell, part, away) for the nearest cells that hold ``k`` vectors; nothing bounds them yet."""
+    return _visits(cells, asked.withColumn("reach", F.lit(math.inf)), lambda away, reach: cells.first(away, k))
+
+
+def later_visits(cells: Cells, asked: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """The same for the other cells in reach of each query, given what the first ones held."""
+    # Similarities are steps of 1 / SIM_SCALE: a vector that ties lies at most half a step lower.
+    reach = F.sqrt(F.greatest(2.0 - 2.0 * F.min("sim") + 4.0 / SIM_SCALE, F.lit(0.0)))
+    # A query that met fewer than k vectors has met all cells.
+    bounds = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), reach.alias("reach")).filter(F.col("n") >= k)
+    bounded = asked.join(bounds.drop("n"), "query_id")
+    return _visits(cells, bounded, lambda away, reach: cells.within(away, reach) & ~cells.first(away, k))
+
+
+def _visits(cells: Cells, asked: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            away = cells.distances(_matrix(batch.column("q")))
+            row, cell = np.nonzero(chosen(away, batch.column("reach").to_numpy()))
+            times = cells.parts[cell]
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            for at in range(0, len(row), _BATCH):
+                r, c = row[at : at + _BATCH], cell[at : at + _BATCH]
+                found = {"cell": c.astype("int32"), "part": part[at : at + _BATCH].astype("int32"), "away": away[r, c]}
+                yield _with(batch.take(pa.array(r)), **found)
+
+    return asked.mapInArrow(visit, _schema(asked, cell=IntegerType(), part=IntegerType(), away=DoubleType()))
+
+
+def _meet(visits: DataFrame, placed: DataFrame) -> DataFrame:
+    """Similarities of visiting queries with the vectors of their cells whose distance from the pivot is in reach."""
     by_part = lambda side: side.repartition(work_partitions(side.sparkSession), "cell", "part")
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+    asked = by_part(visits.withColumnRenamed("away", "_away"))
+    near_enough = F.abs(F.col("away") - F.col("_away")) <= F.col("reach") + _SLACK
+    sim = F.floor(_dot(F.col("q"), F.col("u")) * SIM_SCALE + 0.5) / SIM_SCALE
     return (
-        by_part(asked)
-        .join(by_part(dealt), ["cell", "part"])
-        .select("query_id", "vec_id", "label", (F.floor(_dot(F.col("q"), F.col("u")) * SIM_SCALE + 0.5) / SIM_SCALE).alias("sim"))
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .drop("rank")
+        asked.join(by_part(placed), ["cell", "part"]).filter(near_enough).select("query_id", "vec_id", "label", sim.alias("sim"))
     )
 
 
+def _directed(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(_length(F.col("embedding")) > 0)
+
+
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _BATCH):
+            yield batch.slice(at, _BATCH)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _with(batch: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
+    arrays = [*batch.columns, *(pa.array(c) for c in columns.values())]
+    return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *columns])
+
+
+def _schema(frame: DataFrame, **columns) -> StructType:
+    schema = StructType(list(frame.schema.fields))
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def vector_intents(nearest: DataFrame) -> DataFrame:
     """Score per query and label over its nearest vectors: best, mean of the five best, and number of hits."""
     best = Window.partitionBy("query_id", "label").orderBy(F.desc("sim"), "vec_id")
@@ -131,7 +230,3 @@ def _length(vector: Column) -> Column:
 def _unit(vector: Column) -> Column:
     length = _length(vector)
     return F.transform(vector, lambda x: x.cast("double") / length)
-
-
-def _distance(cosine: Column) -> Column:
-    return F.sqrt(F.greatest(2.0 - 2.0 * cosine, F.lit(0.0)))
