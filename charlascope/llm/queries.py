@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages")).drop("url")
+    return warc.archive(table(spark, sf_dir, "pages")).drop("record_id", "url")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

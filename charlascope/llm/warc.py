@@ -1,11 +1,11 @@
 """WARC records in seekable Zstandard bundles.
 
 A bundle is a file of independent Zstandard frames, each holding some whole records, followed by a skippable frame with
-the seek table: compressed and decompressed size of every frame. An index table maps each record to its bundle, frame and
-place inside the decompressed frame, so one record costs one frame. Tasks write bundles to the shared folder under names
+the seek table: compressed and decompressed size of every frame. An index table maps each record identifier to its bundle,
+frame and place inside the decompressed frame, so one record costs one frame. Tasks write bundles to the shared folder under names
 of their own attempt; the index, written by Spark, names only bundles of attempts that succeeded, so a lost executor
 leaves unreferenced files at worst. Of records with equal payloads one is stored as response, the others as revisits
-without payload.
+without payload, which are written second and name the identifier of their response.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -144,10 +145,14 @@ class BundleReader:
         return self.plain[offset : offset + length]
 
 
-INDEX_COLUMNS = "page_id long, bundle string, frame int, frame_offset long, record_bytes long"
+INDEX_COLUMNS = (
+    "record_id string, page_id long, digest string, bundle string, frame int, frame_offset long, record_bytes long"
+)
 _INDEX = pa.schema(
     [
+        ("record_id", pa.string()),
         ("page_id", pa.int64()),
+        ("digest", pa.string()),
         ("bundle", pa.string()),
         ("frame", pa.int32()),
         ("frame_offset", pa.int64()),
@@ -156,62 +161,91 @@ _INDEX = pa.schema(
 )
 
 
-def with_record_type(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, payload digest, and the page each one revisits (null: stored as response).
+def responses_and_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``(page_id, url, html, digest)`` of responses, and ``(page_id, url, size, digest, refers_to)`` of revisits.
 
-    Only digests and ids are grouped. Every row with the smallest id of its payload is a response; if all rows of a
-    payload lack an id, all of them are.
+    Payloads are grouped by digest without their texts. Every row with the smallest id of its payload is a response; if
+    all rows of a payload lack an id, all of them are. A row's part follows from its id and digest, so texts are shuffled
+    by both, and a payload that very many pages share is spread over tasks.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    large = keyed.where(F.octet_length("html") >= least_bytes)
-    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = keyed.join(shared.select("digest", "first"), "digest", "left")
-    revisits = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "html", "digest", revisits.alias("refers_to"))
-
-
-def _page_record(page_id, url, html: bytes, digest: str, refers_to) -> bytes:
-    name = uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id}")
+    size = F.octet_length("html").cast("long")
+    large = cut_lineage(keyed.where(size >= least_bytes).select("page_id", "url", size.alias("size"), "digest"))
+    shared = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+    shared = shared.where("n > 1 and refers_to is not null").drop("n")
+    revisits = large.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    # Rows without an id share the empty key.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_key")
+    others = revisits.select(key, "digest").distinct()
+    responses = keyed.withColumn("_key", key).join(others, ["_key", "digest"], "left_anti")
+    return (
+        responses.select("page_id", "url", "html", "digest"),
+        revisits.select("page_id", "url", "size", "digest", "refers_to"),
+    )
+
+
+def _headers(kind: str, record_id: str, date: str, page_id, url, size: int, digest: str) -> dict[str, str]:
     headers = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{name}>",
+        "WARC-Type": kind,
+        "WARC-Record-ID": f"<{record_id}>",
+        "WARC-Date": date,
         "WARC-Target-URI": url or "",
         "WARC-Payload-Digest": f"sha256:{digest}",
-        "WARC-Payload-Length": str(len(html)),
+        "WARC-Payload-Length": str(size),
         "Content-Type": "text/html; charset=utf-8",
     }
-    if page_id is not None:
-        headers["WARC-Page-ID"] = str(page_id)
-    if refers_to is None:
-        return record(headers, html)
-    target = uuid.uuid5(uuid.NAMESPACE_OID, f"page {refers_to}")
-    headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:uuid:{target}>", "WARC-Refers-To-Page": str(refers_to)}
-    return record(headers, b"")
+    return headers if page_id is None else headers | {"WARC-Page-ID": str(page_id)}
 
 
-def write_bundles(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str | None = None) -> DataFrame:
     """Write one record per page to bundles in ``folder``, a shared one; returns the stored index.
 
-    A null html is an empty payload, a null url an empty one. Repeated rows are records of their own. Other columns are
-    ignored; an empty table gives an empty index and no bundle.
+    A null html is an empty payload, a null url an empty one. Repeated rows are records of their own, each with its own
+    identifier. ``date`` is the records' WARC-Date (UTC, as in 2025-01-31T12:00:00Z), now by default, as pages have none.
+    Other columns are ignored; an empty table gives an empty index and no bundle.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
-    def task(batches):
-        writer = BundleWriter(folder)
+    def response(page_id, url, html: bytes, digest: str) -> tuple[str, bytes]:
+        record_id = uuid.uuid4().urn
+        return record_id, record(_headers("response", record_id, date, page_id, url, len(html), digest), html)
+
+    def revisit(page_id, url, size: int, digest: str, refers_to: int, target: str) -> tuple[str, bytes]:
+        record_id = uuid.uuid4().urn
+        headers = _headers("revisit", record_id, date, page_id, url, size, digest) | {
+            "WARC-Profile": PROFILE,
+            "WARC-Refers-To": f"<{target}>",
+            "WARC-Refers-To-Date": date,
+            "WARC-Refers-To-Page": str(refers_to),
+        }
+        return record_id, record(headers, b"")
+
+    def written(rows: DataFrame, made, *columns: str) -> DataFrame:
+        def task(batches):
+            writer = BundleWriter(folder)
+
+            def placed() -> Iterator[tuple]:
+                for row in rows_of(batches, *columns):
+                    record_id, data = made(*row)
+                    yield record_id, row[0], row[3], *writer.add(data)
 
-        def placed() -> Iterator[tuple]:
-            for page_id, *rest in rows_of(batches, "page_id", "url", "html:raw", "digest", "refers_to"):
-                yield page_id, *writer.add(_page_record(page_id, *rest))
+            yield from batched(placed(), _INDEX)
+            writer.close()
 
-        yield from batched(placed(), _INDEX)
-        writer.close()
+        return cut_lineage(rows.mapInArrow(task, INDEX_COLUMNS))
 
-    return cut_lineage(with_record_type(pages, least_bytes).mapInArrow(task, INDEX_COLUMNS))
+    responses, revisits = responses_and_revisits(pages, least_bytes)
+    first = written(responses, response, "page_id", "url", "html:raw", "digest")
+    targets = first.groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.min("record_id").alias("target"))
+    referring = revisits.join(targets, ["refers_to", "digest"])
+    second = written(referring, revisit, "page_id", "url", "size", "digest", "refers_to", "target")
+    return first.unionByName(second)
 
 
 _READ = pa.schema(
     [
+        ("record_id", pa.string()),
         ("page_id", pa.int64()),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
@@ -222,8 +256,8 @@ _READ = pa.schema(
     ]
 )
 READ_COLUMNS = (
-    "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, "
-    "payload binary"
+    "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+    "url string, payload binary"
 )
 
 
@@ -237,16 +271,18 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
         reader = BundleReader(folder)
 
         def found() -> Iterator[tuple]:
-            for place in rows_of(batches, "bundle", "frame", "frame_offset", "record_bytes"):
+            for record_id, *place in rows_of(batches, "record_id", "bundle", "frame", "frame_offset", "record_bytes"):
                 headers, block = parse_record(reader.get(*place))
+                if headers["WARC-Record-ID"] != f"<{record_id}>":
+                    raise ValueError(f"another record lies at the place of {record_id}")
                 digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
                 size, kind = int(headers["WARC-Payload-Length"]), headers["WARC-Type"]
                 if kind == "response" and (len(block), hashlib.sha256(block).hexdigest()) != (size, digest):
-                    raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
+                    raise ValueError(f"payload of {record_id} is damaged")
                 page, target = headers.get("WARC-Page-ID"), headers.get("WARC-Refers-To-Page")
                 page, target = (None if x is None else int(x) for x in (page, target))
                 body = block if payloads and kind == "response" else None
-                yield page, size, digest, kind, target, headers["WARC-Target-URI"], body
+                yield record_id, page, size, digest, kind, target, headers["WARC-Target-URI"], body
 
         yield from batched(found(), _READ, 512)
 

@@ -41,6 +41,35 @@ def test_repeated_rows_and_no_rows(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_record_ids_are_unique_and_lead_to_records(spark):
+    html = "x" * 200
+    pages = [(1, "u", html), (1, "u", html), (None, "u", html), (None, "u", html), (2, "v", html), (3, "w", "short"), (3, "w", "short")]
+    frame = spark.createDataFrame([(*p, 1, "f") for p in pages], PAGES).repartition(3)
+    folder = f"{run_folder(spark)}/warc-ids"
+    index = warc.write_bundles(frame, folder, date="2025-01-31T12:00:00Z")
+    places = {r["record_id"]: r for r in index.collect()}
+    assert len(places) == len(pages)
+    reader, kinds = warc.BundleReader(folder), []
+    for record_id, r in places.items():
+        headers, block = warc.parse_record(reader.get(r["bundle"], r["frame"], r["frame_offset"], r["record_bytes"]))
+        assert headers["WARC-Record-ID"] == f"<{record_id}>" and headers["WARC-Date"] == "2025-01-31T12:00:00Z"
+        kinds.append((r["page_id"] or 0, headers["WARC-Type"]))
+        if headers["WARC-Type"] == "revisit":
+            target = places[headers["WARC-Refers-To"].strip("<>")]
+            assert (target["page_id"], target["digest"], block) == (1, r["digest"], b"")
+    assert sorted(kinds) == [
+        (0, "revisit"), (0, "revisit"), (1, "response"), (1, "response"), (2, "revisit"), (3, "response"), (3, "response"),
+    ]
+    one = index.where(f"record_id = '{min(places)}'")
+    assert [r["record_id"] for r in warc.read_records(one, folder).collect()] == [min(places)]
+
+
+def test_one_payload_without_ids_and_nulls_everywhere(spark):
+    pages = spark.createDataFrame([(None, None, "y" * 100, None, None)] * 3 + [(None, None, None, None, None)], PAGES)
+    out = warc.archive(pages).collect()
+    assert sorted((r["record_type"], r["payload_bytes"]) for r in out) == [("response", 0)] + [("response", 100)] * 3
+
+
 def test_payloads_come_back_and_frames_are_independent(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "u", f"{i} " * 9000, 1, "f") for i in range(40)], PAGES).coalesce(1)
     folder = f"{run_folder(spark)}/warc-test"
