@@ -132,7 +132,36 @@ with d as (
 select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
 """
 
+# Text between the matches, from splitting, and the matches' own lengths give their places.
+SECRETS_SQL = f"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), m as ({" union all ".join(
+    f"""select r, {place} as place, '{rule.kind}' as kind,
+    list_transform(string_split_regex(t, p), lambda x: length(x)) as gaps,
+    list_transform(regexp_extract_all(t, p, 0), lambda x: length(x)) as sizes,
+    list_transform(regexp_extract_all(t, p, {rule.group}), lambda x: length(x)) as tested, {rule.least} as least
+  from (select *, '{rule.pattern.replace("'", "''")}' as p from d)"""
+    for place, rule in enumerate(secrets.RULES)
+)}), e as (
+  select *, unnest(range(1, len(sizes) + 1)) as i from m where len(sizes) > 0
+), s as (
+  select r, place, kind, list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) as begins, sizes[i] as size
+  from e where tested[i] >= least
+), named as (
+  select r, place, kind, begins, kind || ':' || cast(begins as bigint) || ':' || cast(begins + size as bigint) as span from s
+), g as (
+  select r, string_agg(span, ',' order by begins, place) as spans,
+    string_agg(span, ',' order by begins, place) filter (place < {len(secrets.BASE)}) as base,
+    {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in secrets.BASE)}
+  from named group by r
+)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in secrets.BASE)},
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (r)
+"""
+
 
 def oracles() -> dict[str, str]:
     """SQL for the operators that it can express."""
-    return {"op1_warc": WARC_SQL, "op11_ranking": RANKING_SQL}
+    return {"op1_warc": WARC_SQL, "op3_secrets": SECRETS_SQL, "op11_ranking": RANKING_SQL}

@@ -1,7 +1,7 @@
 """Secrets in texts, by a trigram inverted index and regular expressions. Built-in functions only.
 
-For every rule a Boolean trigram query is derived from its literals: alternatives, each the set of all trigrams that a
-match must hold. The index keeps postings (trigram, document) of the trigrams that some query names. Postings of an
+For every rule a Boolean trigram query is derived from its regular expression: alternatives, each a set of trigrams; every
+match holds all of one of them. The index keeps postings (trigram, document) of the trigrams that some query names. Postings of an
 alternative are intersected by counting, candidates are read again and verified with the regular expression. A rule that
 has no mandatory trigram is matched against every text in the same pass that makes the postings.
 """
@@ -13,27 +13,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from charlascope.llm.trigrams import trigram_query
 from charlascope.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern in Java syntax. ``literals``: texts of which every match holds one, in lower case; none: scan all.
-
-    ``group`` and ``least``: code points that this group of a match must have.
-    """
+    """A pattern in the syntax that Java and Python share. ``group`` and ``least``: code points this group must have."""
 
     kind: str
     pattern: str
-    literals: tuple[str, ...]
     group: int = 0
     least: int = 1
     base: bool = False
 
     def trigrams(self) -> list[tuple[str, ...]]:
-        """The Boolean query: any of these sets must be there whole. Empty if a literal is too short to tell."""
-        sets = [tuple(sorted({t[i : i + 3] for i in range(len(t) - 2)})) for t in self.literals]
-        return sets if all(sets) else []
+        """The Boolean query: any of these sets must be there whole. Empty if no trigram is mandatory."""
+        return trigram_query(self.pattern)
 
 
 # ---- Fixed values: patterns of secrets; the first three are the base kinds ----
@@ -41,17 +37,17 @@ RULES = (
     Rule(
         "assign",
         r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        ("password", "passwd", "secret", "token", "apikey", "api_key"), 2, 6, True,
+        2, 6, True,
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", ("akia",), 0, 20, True),
-    Rule("hex", r"[0-9a-f]{24,}", (), 0, 24, True),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}", ("glpat-",)),
-    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", ("xox",)),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", ("aiza",)),
-    Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", ("k_live_", "k_test_")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", ("eyj",)),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("-----begin ",)),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
 BASE = tuple(r.kind for r in RULES if r.base)
 

@@ -3,8 +3,11 @@ import random
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from charlascope.llm import secrets
+from charlascope.llm.trigrams import trigram_query
 
 DOCS = "doc_id long, text string, spans string, kind int"
 HEX = "0123456789abcdef" * 2
@@ -52,12 +55,32 @@ def test_empty_table(spark):
 
 
 def test_trigram_queries():
-    assert secrets.Rule("x", "abcd|xyz", ("abcd", "xyz")).trigrams() == [("abc", "bcd"), ("xyz",)]
-    assert secrets.Rule("x", "ab", ("ab",)).trigrams() == []
+    assert trigram_query("abcd|xyz") == [("abc", "bcd"), ("xyz",)]
+    assert trigram_query("ab") == trigram_query("abc|") == trigram_query("(?:abc)*") == trigram_query("a.c") == []
+    assert trigram_query("A[bc]d?E") == [("abd", "bde"), ("abe",), ("acd", "cde"), ("ace",)]
+    assert trigram_query("a(?:bc|de)+f") == [("abc", "bcf"), ("abc", "def"), ("ade", "bcf"), ("ade", "def")]
+    assert trigram_query(r"\Qabcd\E") == trigram_query("é{3}abé") == []
+    assert trigram_query(r"-----BEGIN (?:[A-Z]+ )*KEY--") == [
+        tuple(sorted({t[i : i + 3] for t in ("-----begin ", "key--") for i in range(len(t) - 2)}))
+    ]
     assert [r.kind for r in secrets.RULES if not r.trigrams()] == ["hex"]
 
 
-@pytest.mark.parametrize("rule", [r for r in secrets.RULES if r.literals], ids=lambda r: r.kind)
+PATTERNS = [r.pattern for r in secrets.RULES] + [
+    "a(?:bc|de){2,5}f", "(?:ab?c?){3}xyz", "xyz[^a]+abc$", "(abc)\\1d", "(?i:Foo|ba[rz]){1,2}q?ux", "[a-z]{2}cde|[0-7]abc",
+]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(data=st.data())
+def test_every_match_holds_its_query(pattern, data):
+    match = re.search(pattern, data.draw(st.from_regex(pattern))).group().lower()
+    query = trigram_query(pattern)
+    assert not query or any(all(t in match for t in chosen) for chosen in query)
+
+
+@pytest.mark.parametrize("rule", [r for r in secrets.RULES if r.trigrams()], ids=lambda r: r.kind)
 def test_candidates_lose_no_match(spark, rule):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], DOCS)
