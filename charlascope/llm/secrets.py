@@ -101,13 +101,23 @@ def _trigram_rows(rules: tuple[Rule, ...]) -> list[tuple[str, int, str, int]]:
     ]
 
 
+def _any_of(trigrams: list[str]) -> str:
+    """A pattern for any of these, letters in either case, by first, second and then third characters."""
+    spelled = lambda c: c + c.upper() if c.isalpha() else c if c.isdigit() else "\\" + c
+    firsts: dict[str, dict[str, str]] = {}
+    for a, b, c in trigrams:
+        seconds = firsts.setdefault(a, {})
+        seconds[b] = seconds.get(b, "") + spelled(c)
+    return "|".join(
+        f"[{spelled(a)}](?:{'|'.join(f'[{spelled(b)}][{third}]' for b, third in seconds.items())})"
+        for a, seconds in firsts.items()
+    )
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The index: (trigram, uid, doc_id), for the trigrams of the rules' queries. Letters count in either case."""
     wanted = sorted({t for _, _, t, _ in _trigram_rows(rules)})
-    either = [
-        "".join(f"[{c}{c.upper()}]" if c.isalpha() else f"\\Q{c}\\E" for c in trigram) for trigram in wanted
-    ]
-    pattern = F.lit(f"(?=({'|'.join(either)}))")
+    pattern = F.lit(f"(?=({_any_of(wanted)}))")
     found = F.array_distinct(F.transform(F.regexp_extract_all("text", pattern, 1), F.lower))
     return _texts(docs).select(F.explode(found).alias("trigram"), "uid", "doc_id")
 
