@@ -22,8 +22,9 @@ MOST_PIVOTS = 1024
 PART_ROWS = 10_000
 # Distances near zero are off by up to 1e-7, as they are roots of differences.
 _SLACK = 1e-6
-# Rows of a batch.
+# Rows of a batch, and queries that are multiplied with a part at a time.
 _BATCH = 1000
+_MET = 100
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,8 @@ def nearest_vectors(
     asked = _directed(queries).select("query_id", _unit(F.col("embedding")).alias("q"))
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     top = lambda pairs: pairs.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
-    near = cut_lineage(top(_meet(first_visits(cells, asked, k), placed)))
-    return top(near.unionByName(_meet(later_visits(cells, asked, near, k), placed)))
+    near = cut_lineage(top(_meet(first_visits(cells, asked, k), placed, k)))
+    return top(near.unionByName(_meet(later_visits(cells, asked, near, k), placed, k)))
 
 
 def build_cells(
@@ -160,15 +161,71 @@ def _visits(cells: Cells, asked: DataFrame, chosen: Callable[[np.ndarray, np.nda
     return asked.mapInArrow(visit, _schema(asked, cell=IntegerType(), part=IntegerType(), away=DoubleType()))
 
 
-def _meet(visits: DataFrame, placed: DataFrame) -> DataFrame:
-    """Similarities of visiting queries with the vectors of their cells whose distance from the pivot is in reach."""
-    by_part = lambda side: side.repartition(work_partitions(side.sparkSession), "cell", "part")
-    asked = by_part(visits.withColumnRenamed("away", "_away"))
-    near_enough = F.abs(F.col("away") - F.col("_away")) <= F.col("reach") + _SLACK
-    sim = F.floor(_dot(F.col("q"), F.col("u")) * SIM_SCALE + 0.5) / SIM_SCALE
-    return (
-        asked.join(by_part(placed), ["cell", "part"]).filter(near_enough).select("query_id", "vec_id", "label", sim.alias("sim"))
-    )
+def _meet(visits: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best vectors of each part that a query visits, among those whose distance from the pivot is in reach.
+
+    A task holds the vectors of one part and multiplies them with the queries that visit it, some at a time.
+    """
+    side = lambda frame, kind, *names: frame.select("cell", "part", "away", F.lit(kind).alias("kind"), *names)
+    vectors = side(placed, 0, "vec_id", "label", F.col("u").alias("v"))
+    asked = side(visits, 1, "query_id", "reach", F.col("q").alias("v"))
+    dealt = vectors.unionByName(asked, allowMissingColumns=True)
+    dealt = dealt.repartition(work_partitions(placed.sparkSession), "cell", "part").sortWithinPartitions("cell", "part", "kind")
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = None, None
+        for batch in _sliced(batches):
+            keys = np.stack([batch.column(n).to_numpy() for n in ("cell", "part", "kind")])
+            cuts = (np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist()
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                key, rows = tuple(keys[:2, start]), batch.slice(start, stop - start)
+                if key != at:
+                    at, part = key, []
+                if keys[2, start] == 0:
+                    part.append(rows)
+                elif part:
+                    if isinstance(part, list):
+                        part = _Part(part)
+                    for some in range(0, len(rows), _MET):
+                        yield part.best(rows.slice(some, _MET), k)
+
+    kinds = {f.name: f.dataType for f in dealt.schema.fields}
+    schema = StructType()
+    for name in ("query_id", "vec_id", "label"):
+        schema = schema.add(name, kinds[name])
+    return dealt.mapInArrow(task, schema.add("sim", DoubleType()))
+
+
+class _Part:
+    """The vectors of one part of a cell."""
+
+    def __init__(self, held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks()
+        self.ids, self.labels = (table[n].combine_chunks() for n in ("vec_id", "label"))
+        # Ids in their order, nulls first; the sorts below are stable.
+        self.order = table["vec_id"].combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy()
+        self.away = table["away"].to_numpy()
+        self.units = np.concatenate([_matrix(rows.column("v")) for rows in held])
+
+    def __len__(self) -> int:
+        return len(self.away)
+
+    def best(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        away, reach = asked.column("away").to_numpy(), asked.column("reach").to_numpy()
+        sims = np.floor(_matrix(asked.column("v")) @ self.units.T * SIM_SCALE + 0.5) / SIM_SCALE
+        near = np.abs(away[:, None] - self.away[None, :]) <= reach[:, None] + _SLACK
+        # Unit vectors within reach of each other are at least so similar.
+        near &= sims >= (1.0 - reach**2 / 2.0 - _SLACK)[:, None]
+        for row in np.flatnonzero(near.sum(axis=1) > k).tolist():
+            found = np.flatnonzero(near[row])
+            least = np.partition(sims[row, found], -k)[-k]
+            found = found[sims[row, found] >= least]
+            near[row] = False
+            near[row, found[np.lexsort((self.order[found], -sims[row, found]))[:k]]] = True
+        rows, columns = np.nonzero(near)
+        arrays = [asked.column("query_id").take(pa.array(rows)), self.ids.take(pa.array(columns)),
+                  self.labels.take(pa.array(columns)), pa.array(sims[rows, columns])]
+        return pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "label", "sim"])
 
 
 def _directed(vectors: DataFrame) -> DataFrame:

@@ -78,3 +78,11 @@ def test_no_directions(spark):
     corpus = spark.createDataFrame([(1, 0, [0.0, 0.0])], "vec_id bigint, label int, embedding array<double>")
     queries = corpus.select(F.col("vec_id").alias("query_id"), "embedding")
     assert nearest_vectors(queries, corpus).count() == 0
+
+
+def test_a_query_takes_at_most_k_vectors_from_a_part(spark):
+    corpus = clustered(spark, 900, 3).cache()
+    cells, placed = vectors.build_cells(corpus, 4, 100)
+    asked = corpus.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), vectors._unit(F.col("embedding")).alias("q"))
+    visits = vectors.first_visits(cells, asked, 50).cache()
+    assert vectors._meet(visits, placed, 7).count() <= 7 * visits.count()
