@@ -74,23 +74,31 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, cost: float = 1e-4) -> tuple[np.ndarray, float]:
-    """A linear machine with hinge loss by stochastic subgradient steps; y is +1 or -1. Classes weigh the same."""
+def fit_machine(
+    x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, rounds: int = ROUNDS, cost: float = 1e-4
+) -> tuple[np.ndarray, float]:
+    """A linear machine with hinge loss by stochastic subgradient steps; y is +1 or -1. Classes weigh the same.
+
+    ``rows`` are the rows of ``x`` that take part, all by default; only those of one step are copied.
+    """
+    rows = np.arange(len(x)) if rows is None else rows
     rng = np.random.default_rng(SEED)
     weights, bias, step = np.zeros(x.shape[1]), 0.0, 0
-    mean_weights, mean_bias, held = np.zeros(x.shape[1]), 0.0, 0
+    mean_weights, mean_bias, added = np.zeros(x.shape[1]), 0.0, 0
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     for turn in range(rounds):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
             step += 1
             rate = 1.0 / (1.0 + cost * step * 100)
-            wrong = part[y[part] * (x[part] @ weights + bias) < 1]
+            held = x[rows[part]].astype(float)
+            off = y[part] * (held @ weights + bias) < 1
+            wrong, held = part[off], held[off]
             pull = (y[wrong] * share[wrong])[:, None]
-            weights = weights * (1 - rate * cost) + rate / len(part) * (pull * x[wrong]).sum(axis=0)
+            weights = weights * (1 - rate * cost) + rate / len(part) * (pull * held).sum(axis=0)
             bias += rate / len(part) * pull.sum()
             if turn >= rounds // 2:
-                mean_weights, mean_bias, held = mean_weights + weights, mean_bias + bias, held + 1
-    return mean_weights / max(1, held), mean_bias / max(1, held)
+                mean_weights, mean_bias, added = mean_weights + weights, mean_bias + bias, added + 1
+    return mean_weights / max(1, added), mean_bias / max(1, added)
 
 
 @dataclass
@@ -109,8 +117,8 @@ class Machines:
         pairs = list(combinations(range(len(classes)), 2))
         weights, bias = np.zeros((len(pairs), BUCKETS)), np.zeros(len(pairs))
         for k, (a, b) in enumerate(pairs):
-            rows = (labels == a) | (labels == b)
-            weights[k], bias[k] = fit_machine(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
+            rows = np.flatnonzero((labels == a) | (labels == b))
+            weights[k], bias[k] = fit_machine(x, np.where(labels[rows] == a, 1.0, -1.0), rows)
         return cls(classes, pairs, weights, bias)
 
     def decide(self, margins: np.ndarray) -> tuple[str, float]:
@@ -166,7 +174,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return ranked.withColumn("place", F.expr(place)).where(F.col("place") <= sample).select("lang", "text")
 
 
-_DENSE = pa.schema([("lang", pa.string()), ("x", pa.list_(pa.float32()))])
+_DENSE = pa.schema([("lang", pa.string()), ("x", pa.binary())])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
@@ -174,13 +182,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
 
     def task(batches):
         rows = rows_of(batches, "lang", "text")
-        yield from batched(((g, frequencies(t)) for g, t in rows if has_letter(t)), _DENSE, 256)
+        # Frequencies are not negative: their big-endian bytes sort as they do.
+        vectors = ((g, frequencies(t).astype(">f4").tobytes()) for g, t in rows if has_letter(t))
+        yield from batched(vectors, _DENSE, 256)
 
-    rows = training_rows(docs, sample).mapInArrow(task, "lang string, x array<float>")
-    found = sorted((r["lang"], tuple(r["x"])) for r in rows.toLocalIterator())
+    rows = training_rows(docs, sample).mapInArrow(task, "lang string, x binary")
+    found = sorted((r["lang"], bytes(r["x"])) for r in rows.toLocalIterator())
     if not found:
         return None
-    names, x = [n for n, _ in found], np.array([v for _, v in found])
+    names, x = [n for n, _ in found], np.stack([np.frombuffer(v, ">f4") for _, v in found]).astype(np.float32)
     groups = [family_of(n) for n in names]
     members = {}
     for family in sorted(set(groups)):

@@ -60,3 +60,12 @@ def test_slices_count_all_grams(monkeypatch):
     whole = language.frequencies(text)
     monkeypatch.setattr(language, "SLICE", 64)
     assert np.abs(language.frequencies(text) - whole).max() < 0.1
+
+
+def test_machine_of_some_rows_equals_machine_of_their_copy():
+    rng = np.random.default_rng(3)
+    x = rng.random((90, 12)).astype(np.float32)
+    rows = np.arange(0, 90, 2)
+    y = np.where(x[rows, 0] > 0.5, 1.0, -1.0)
+    some, whole = language.fit_machine(x, y, rows), language.fit_machine(x[rows].astype(float), y)
+    assert (some[0] == whole[0]).all() and some[1] == whole[1]
