@@ -27,7 +27,7 @@ MAX_SEGMENTS = 256
 # Examples and ids that a task holds while it packs a block.
 BLOCK_EXAMPLES = 2048
 BLOCK_IDS = 4_000_000
-# Words whose ids a Python worker keeps; about 200 bytes each.
+# Words whose ids a Python worker keeps, twice over; about 200 bytes each.
 KNOWN_WORDS = 60_000
 SLICE = 1 << 20
 SEQUENCE_BITS = 36
@@ -68,7 +68,9 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        # Words met since the last full memory, and those of that one; what is still met moves on, the rest goes.
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x180)}
@@ -84,14 +86,14 @@ class WordTokenizer:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            fresh: dict[str, bytes] = {}
             for word in words:
-                if word not in known and word not in fresh:
-                    fresh[word] = self._word(word)
-            if len(known) < KNOWN_WORDS:
-                known.update(fresh)
-                return b"".join([known[w] for w in words])
-            return b"".join([known[w] if w in known else fresh[w] for w in words])
+                if word not in known:
+                    ids = self.old_words.get(word)
+                    known[word] = self._word(word) if ids is None else ids
+            out = b"".join([known[w] for w in words])
+            if len(known) >= KNOWN_WORDS:
+                self.old_words, self.words = known, {}
+            return out
 
     def _word(self, word: str) -> bytes:
         if "<|" in word or not self._PLAIN.fullmatch(word):

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from charlascope.llm import packing
 from charlascope.llm.packing import Piece, WordTokenizer, pack_block, pack_documents, text_slices
 
 SCHEMA = "doc_id long, text string, ids int"
@@ -85,3 +86,20 @@ def test_empty_table_and_bad_limits(spark):
     assert pack_documents(empty).count() == 0
     with pytest.raises(ValueError):
         pack_documents(empty, max_tokens=1000)
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 20)
+    words = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    asked = []
+    plain = words._word
+    monkeypatch.setattr(words, "_word", lambda w: asked.append(w) or plain(w))
+    texts = [f"zq{i}a zq{i}b often seen" for i in range(60)]
+    assert [words(t) for t in texts] == [packing._packed(words.whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    asked.clear()
+    # After many rare words, a word that came late and is common is read from the memory.
+    for i in range(60):
+        words(f"later zr{i}")
+    assert asked.count("later") == 1 and len(words.words) <= 24
