@@ -8,6 +8,7 @@ full. What stays open at the end of a block is cut into sequences whose lengths
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,8 +28,8 @@ MAX_SEGMENTS = 256
 # Examples and ids that a task holds while it packs a block.
 BLOCK_EXAMPLES = 2048
 BLOCK_IDS = 4_000_000
-# Words whose ids a Python worker keeps, twice over; about 200 bytes each.
-KNOWN_WORDS = 60_000
+# Words, and parts of words, whose ids a Python worker keeps, each twice over; about 200 bytes each.
+KNOWN_WORDS = 250_000
 SLICE = 1 << 20
 SEQUENCE_BITS = 36
 
@@ -68,10 +69,8 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        # Words met since the last full memory, and those of that one; what is still met moves on, the rest goes.
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = _Words(self._word, {})
+        self.pieces = _Words(self._piece, {})
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x180)}
 
@@ -81,37 +80,42 @@ class WordTokenizer:
         return b"".join(self._slice(part) for part in text_slices(text))
 
     def _slice(self, text: str) -> bytes:
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    ids = self.old_words.get(word)
-                    known[word] = self._word(word) if ids is None else ids
-            out = b"".join([known[w] for w in words])
-            if len(known) >= KNOWN_WORDS:
-                self.old_words, self.words = known, {}
-            return out
+        out = b"".join(map(self.words.__getitem__, text.split()))
+        if len(self.words) >= KNOWN_WORDS:
+            self.words = _Words(self._word, dict(self.words))
+        if len(self.pieces) >= KNOWN_WORDS:
+            self.pieces = _Words(self._piece, dict(self.pieces))
+        return out
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.pieces[word.lower()]
         if "<|" in word or not self._PLAIN.fullmatch(word):
             return _packed(self.whole.encode(word, add_special_tokens=False).ids)
-        out = []
-        for piece in self._PIECES.findall(word.lower()):
-            found = self.pieces.get(piece)
-            if found is None:
-                mapped = piece if piece.isascii() else piece.translate(self.letters)
-                found = _packed([t.id for t in self.model.tokenize(mapped)])
-                if len(self.pieces) < KNOWN_WORDS:
-                    self.pieces[piece] = found
-            out.append(found)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(word.lower())))
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(mapped)])
+
+
+class _Words(dict):
+    """Ids of the words met since the last full memory, and of those in that one; what is still met moves on, the rest goes."""
+
+    def __init__(self, ids: Callable[[str], bytes], old: dict[str, bytes]):
+        super().__init__()
+        self.ids, self.old = ids, old
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.ids(word)
+        self[word] = found
+        return found
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def text_slices(text: str, size: int = SLICE) -> Iterator[str]:

@@ -103,3 +103,16 @@ def test_words_in_use_stay_remembered(monkeypatch):
     for i in range(60):
         words(f"later zr{i}")
     assert asked.count("later") == 1 and len(words.words) <= 24
+
+
+def test_plain_words_need_no_regular_expression_and_one_look(monkeypatch):
+    import public_tokenizers
+
+    known = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    text = "Training corpora repeat words and words repeat Training zzxqy zzxqy"
+    expected = known.whole.encode(text, add_special_tokens=False).ids
+    asked = []
+    monkeypatch.setattr(packing.WordTokenizer, "_PIECES", None)
+    known.words.ids = lambda word, make=known.words.ids: asked.append(word) or make(word)
+    assert list(np.frombuffer(known(text), "<u4")) == expected
+    assert sorted(asked) == sorted(set(text.split()))
