@@ -35,6 +35,8 @@ PART_WORDS = 4_088
 STEP_WORDS = 8
 # Edits tried first: a narrow band proves most links of long lines without the full table.
 NARROW_EDITS = (8, 40, 200, 1000)
+# Characters that equal beginnings and ends of two lines are shortened by before their edits are counted, most first.
+EQUAL_ENDS = tuple(1 << k for k in range(14, 2, -1))
 # Bytes of line numbers and digests that may be broadcast to the scan of the texts; more are joined by shuffle.
 BROADCAST_BYTES = 32_000_000
 
@@ -122,11 +124,16 @@ def line_rows(docs: DataFrame) -> DataFrame:
     too long for narrow counters are counted again with counters of 32 bits. Repeated rows of a document are one row here.
     """
     rows = cut_lineage(_counted(_documents(docs), 16, PART_WORDS))
-    again = rows.where("part > 0").select("uid").distinct()
-    if not again.isEmpty():
-        wide = _counted(_documents(docs).join(again, "uid", "left_semi"), 32, 1 << 30)
-        rows = rows.join(again, "uid", "left_anti").unionByName(wide)
-    return rows.drop("part")
+    again = cut_lineage(rows.where("part > 0").select("uid").distinct())
+    count = again.count()
+    if not count:
+        return rows.drop("part")
+    few = 64 * count <= BROADCAST_BYTES
+    side = F.broadcast(again) if few else again
+    # Stored, as the rows are read many times and the texts must not be joined each time.
+    wide = cut_lineage(_counted(_documents(docs).join(side, "uid", "left_semi"), 32, 1 << 30))
+    out = rows.join(side, "uid", "left_anti").unionByName(wide).drop("part")
+    return out if few else cut_lineage(out)
 
 
 def _crowds(lines: DataFrame) -> DataFrame:
@@ -147,6 +154,29 @@ def _bits(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _middles(a: Column, b: Column) -> Column:
+    """Two different lines without most of their equal beginnings and ends, as ``x`` and ``y``; as many edits apart."""
+    sizes = F.array(*[F.lit(n) for n in EQUAL_ENDS])
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def start(m: Column, n: Column) -> Column:
+        cut = pair(F.substr(m["x"], n + 1), F.substr(m["y"], n + 1))
+        return F.when(F.left(m["x"], n) == F.left(m["y"], n), cut).otherwise(m)
+
+    def end(m: Column, n: Column) -> Column:
+        cut = pair(F.left(m["x"], F.length(m["x"]) - n), F.left(m["y"], F.length(m["y"]) - n))
+        return F.when(F.right(m["x"], n) == F.right(m["y"], n), cut).otherwise(m)
+
+    return F.aggregate(sizes, F.aggregate(sizes, pair(a, b), start), end)
+
+
+def _most_edits(x: Column, y: Column) -> Column:
+    """Edits that surely suffice for lines of equally many words: each word that differs is replaced. Null for other lines."""
+    x, y = F.split(x, " ", -1), F.split(y, " ", -1)
+    edits = F.zip_with(x, y, lambda v, w: F.when(v == w, 0).otherwise(F.greatest(F.length(v), F.length(w))))
+    return F.when(F.size(x) == F.size(y), F.aggregate(edits, F.lit(0), lambda n, e: n + e))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes whose normalised lines are similar enough."""
     left = texts.select(F.col("node").alias("a"), F.col("norm").alias("norm_a"))
@@ -154,9 +184,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     size = "greatest(length(norm_a), length(norm_b))"
     allowed = f"cast(floor({1 - similarity:.6f} * {size} + 0.000001) as int)"
     short = f"abs(length(norm_a) - length(norm_b)) <= {allowed}"
-    narrow = " or ".join(f"({n} < {allowed} and levenshtein(norm_a, norm_b, {n}) >= 0)" for n in NARROW_EDITS)
-    near = f"{narrow} or levenshtein(norm_a, norm_b, {allowed}) >= 0"
-    return pairs.join(left, "a").join(right, "b").where(short).where(near).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").where(short)
+    middles = _once(_middles(F.col("norm_a"), F.col("norm_b"))).alias("m")
+    both = both.select("a", "b", F.expr(allowed).alias("most"), middles).select("a", "b", "most", "m.x", "m.y")
+    proved = F.coalesce(_most_edits(F.col("x"), F.col("y")) <= F.col("most"), F.lit(False))
+    narrow = " or ".join(f"({n} < most and levenshtein(x, y, {n}) >= 0)" for n in NARROW_EDITS)
+    near = F.expr(f"{narrow} or levenshtein(x, y, most) >= 0")
+    return both.where(proved | near).select("a", "b")
 
 
 def _small(rows: DataFrame, items: str, item_bytes: int) -> bool:
@@ -194,10 +228,13 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def _across(crowds: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs of near nodes that the first links left in different groups."""
-    keyed = crowds.select("key", "hash")
-    same = grouped.select("hash").distinct().select(F.col("hash").alias("key"), "hash")
-    keyed = keyed.unionByName(same).join(grouped, "hash")
+    """Pairs of near nodes that the first links left in different groups.
+
+    A hash meets its nodes once, with the list of its keys, of which it has as many as there are pairs of blocks at most.
+    """
+    keys = crowds.groupBy("hash").agg(F.collect_list("key").alias("keys"))
+    listed = grouped.join(keys, "hash", "left").withColumn("keys", F.concat(F.coalesce("keys", F.array()), F.array("hash")))
+    keyed = listed.select(F.explode("keys").alias("key"), "hash", "node", "part")
     x = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("hash", "node", "part")])
     y = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("hash", "node", "part")])
     apart = x.join(y, "key").where("part_a < part_b").where(_bits("hash_a", "hash_b") <= MAX_BITS)

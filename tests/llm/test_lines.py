@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from charlascope.llm import lines
 
@@ -131,6 +132,49 @@ def test_recall_against_edit_similarity_alone(spark):
     assert gone / len(pairs) > 0.3
 
 
+def test_recounted_long_lines_are_stored(spark):
+    """Every use of the line rows would otherwise join and count the texts of long lines again."""
+    texts = ["a b c", " ".join(f"v{n % 50}" for n in range(lines.PART_WORDS + 1))]
+    found = lines.line_rows(spark.createDataFrame([(i, t, "g", 1) for i, t in enumerate(texts)], DOCS))
+    assert {r["doc_id"] for r in found.collect()} == {0, 1}
+    assert not re.search("split|md5|Aggregate", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_hashes_meet_their_nodes_once(spark):
+    """A hash with many crowded keys is joined with its nodes as one row."""
+    crowds = spark.createDataFrame([(k, h, 1) for h in (1, 3) for k in range(100, 121)], "key long, hash long, least long")
+    grouped = spark.createDataFrame([(1, "a", "a"), (3, "b", "b"), (3, "c", "b"), (3, "d", "a")], "hash long, node string, part string")
+    found = lines._across(crowds, grouped)
+    assert sorted(map(tuple, found.collect())) == [("a", "b"), ("a", "c"), ("d", "b"), ("d", "c")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert any("Generate explode" in line for line in plan[:at])
+
+
+def test_trimmed_lines_and_replaced_words_link_what_edits_link(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdeé字") for _ in range(rng.randrange(1, 9)))
+    norms, pairs = {}, []
+    for i in range(400):
+        line = [word() for _ in range(rng.randrange(1, 40))]
+        other = line[:]
+        for _ in range(rng.randrange(1, 1 + len(line) // 2) if len(line) > 2 else 1):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = rng.choice([[word()], [word()], [], [other[at], word()], [other[at] + "a"]])
+        a, b = " ".join(line), " ".join(other)
+        if a != b:
+            norms[f"a{i}"], norms[f"b{i}"] = a, b
+            pairs.append((f"a{i}", f"b{i}"))
+    expected = [p for p in pairs if distance(*map(norms.get, p)) <= int(0.2 * max(map(len, map(norms.get, p))) + 1e-6)]
+    texts = spark.createDataFrame(list(norms.items()), "node string, norm string")
+    found = lines._verified(spark.createDataFrame(pairs, "a string, b string"), texts, 0.8).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+    assert 50 < len(expected) < len(pairs) - 50
+    row = spark.createDataFrame([("same " * 40 + "one" + " alike" * 40, "same " * 40 + "other" + " alike" * 40)], "a string, b string")
+    x, y = row.select(lines._middles(F.col("a"), F.col("b")).alias("m")).first()["m"]
+    assert max(len(x), len(y)) < 25 and distance(x, y) == distance("one", "other")
+
+
 def test_no_python_in_the_plan(spark):
     plan = lines.line_counts(spark.createDataFrame([(1, "a b", "b", 1)], DOCS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
