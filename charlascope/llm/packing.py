@@ -8,6 +8,7 @@ full. What stays open at the end of a block is cut into sequences whose lengths
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -90,6 +91,11 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             return self.pieces[word.lower()]
+        letters = word.rstrip(string.punctuation)
+        if letters.isalpha() and (letters.isascii() or self._PLAIN.fullmatch(letters)) and "<|" not in word:
+            # Signs after letters are one piece.
+            signs = word[len(letters) :]
+            return self.pieces[letters.lower()] + self.pieces[signs] if signs else self.pieces[letters.lower()]
         if "<|" in word or not self._PLAIN.fullmatch(word):
             return _packed(self.whole.encode(word, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(word.lower())))
@@ -169,33 +175,34 @@ def pack_block(examples: list[Piece], limits: tuple[int, int, int]) -> list[list
     left out. Ties go to the earlier example.
     """
     pieces = [p for p in examples if p.length > 0]
-    vectors = np.array([(p.length, 1, p.loss) for p in pieces], np.int64).reshape(-1, 3)
-    share = 1.0 / np.array(limits, float)
-    weights = vectors * share
+    lengths = np.array([p.length for p in pieces], np.int64)
+    losses = np.array([p.loss for p in pieces], np.int64)
+    shares = [1.0 / limit for limit in limits]
     waiting = np.ones(len(pieces), bool)
     sequences = []
     while waiting.any():
-        left, held = np.array(limits, np.int64), []
+        left, held = list(limits), []
         while left[0] > 0 and left[1] > 0 and waiting.any():
-            fits = waiting & (vectors <= left).all(axis=1)
-            if fits.any():
-                best = int(np.argmax(np.where(fits, weights @ (left * share), -1.0)))
+            fits = np.flatnonzero(waiting & (lengths <= left[0]) & (losses <= left[2]))
+            if len(fits):
+                weights = [left[0] * shares[0], left[1] * shares[1], left[2] * shares[2]]
+                products = (lengths[fits] * shares[0]) * weights[0] + shares[1] * weights[1] + (losses[fits] * shares[2]) * weights[2]
+                best = int(fits[np.argmax(products)])
                 held.append(pieces[best])
                 waiting[best] = False
-                left = left - vectors[best]
+                left = [left[0] - int(lengths[best]), left[1] - 1, left[2] - int(losses[best])]
                 continue
-            longest = int(np.argmax(np.where(waiting, vectors[:, 0], -1)))
+            longest = int(np.argmax(np.where(waiting, lengths, -1)))
             piece = pieces[longest]
-            room = min(int(left[0]), piece.length - 1)
+            room = min(left[0], piece.length - 1)
             if piece.start + room > piece.loss_from:
-                room = min(room, max(0, piece.loss_from - piece.start) + int(left[2]))
+                room = min(room, max(0, piece.loss_from - piece.start) + left[2])
             if room <= 0:
                 break
             head, pieces[longest] = piece.cut(room)
             held.append(head)
-            vectors[longest] = (pieces[longest].length, 1, pieces[longest].loss)
-            weights[longest] = vectors[longest] * share
-            left = left - np.array((head.length, 1, head.loss))
+            lengths[longest], losses[longest] = pieces[longest].length, pieces[longest].loss
+            left = [left[0] - head.length, left[1] - 1, left[2] - head.loss]
         sequences.extend(_powers(held, limits[0]))
     return sequences
 

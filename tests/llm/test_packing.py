@@ -116,3 +116,16 @@ def test_plain_words_need_no_regular_expression_and_one_look(monkeypatch):
     known.words.ids = lambda word, make=known.words.ids: asked.append(word) or make(word)
     assert list(np.frombuffer(known(text), "<u4")) == expected
     assert sorted(asked) == sorted(set(text.split()))
+
+
+def test_letters_with_signs_need_no_regular_expression(monkeypatch):
+    import public_tokenizers
+
+    known = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["Training corpora, repeat. GRÖSSE!! naïve?) Größe: end$$$ it' x|", "Ünï... été,"]
+    expected = [known.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing.WordTokenizer, "_PIECES", None)
+    assert [list(np.frombuffer(known(t), "<u4")) for t in texts] == expected
+    monkeypatch.undo()
+    for text in ["a<|b", "end<|", "it's", "don't.", "x'S,", "×, ÷", "Σας, σ.", "字, 1.", "a1, b_c", "...", "d'", "<|endoftext|>."]:
+        assert list(np.frombuffer(known(text), "<u4")) == known.whole.encode(text, add_special_tokens=False).ids, text
