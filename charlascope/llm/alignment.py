@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ PASS_PAIRS = 8_000_000
 SLICE = 1 << 20
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
-_BESIDE_SPACE = re.compile(r"\s | \s")
+# A space beside white space; a pattern that begins with the space is searched faster.
+_BESIDE_SPACE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _U64 = np.uint64
 
 
@@ -112,11 +114,12 @@ class Aligner:
         sound, bad, of_a, of_b = [], [], [], []
         runs, held, size = [], [], 0
         for piece in pieces:
-            if not piece or len(piece) > LONG_PIECE or piece[0].isspace() or piece[-1].isspace():
+            length = len(piece)
+            if not length or length > LONG_PIECE or piece.strip() != piece:
                 runs.append([piece])
                 continue
             held.append(piece)
-            size += len(piece)
+            size += length
             if size > RUN_CHARS:
                 runs.append(held)
                 held, size = [], 0
@@ -198,11 +201,6 @@ def _byte_letters() -> dict[int, str]:
     return {n: chr(n) for n in plain} | {n: chr(256 + k) for k, n in enumerate(others)}
 
 
-class _Slots(dict):
-    def __missing__(self, piece: str) -> int:
-        return -2
-
-
 class Memory:
     """Alignments of pieces, each made once: a slot number per piece, -1 for those whose bytes are not joined again."""
 
@@ -214,7 +212,7 @@ class Memory:
         return len(self.slots) > KNOWN_PIECES or self.chars > KNOWN_CHARS
 
     def start_anew(self) -> None:
-        self.slots = _Slots()
+        self.slots: dict[str, int] = {}
         self.groups: list[str] = []
         self.parts: list[Aligned] = []
         self.size = self.chars = 0
@@ -222,14 +220,14 @@ class Memory:
 
     def places(self, lists: list[list[str]]) -> list[np.ndarray]:
         """The slots of each list's pieces; those not known yet are aligned, together."""
-        slot = self.slots.__getitem__
-        found = [np.fromiter(map(slot, pieces), np.int64, len(pieces)) for pieces in lists]
-        new = {pieces[i] for pieces, at in zip(lists, found) for i in np.flatnonzero(at == -2).tolist()}
+        found = [np.fromiter(map(self.slots.get, pieces, repeat(-2)), np.int64, len(pieces)) for pieces in lists]
+        missed = [np.flatnonzero(at == -2) for at in found]
+        asked = [list(map(pieces.__getitem__, some.tolist())) for pieces, some in zip(lists, missed)]
+        new = set().union(*asked)
         if new:
             self._learn(list(new))
-            for pieces, at in zip(lists, found):
-                for i in np.flatnonzero(at == -2).tolist():
-                    at[i] = self.slots[pieces[i]]
+            for at, some, pieces in zip(found, missed, asked):
+                at[some] = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
         return found
 
     def _learn(self, new: list[str]) -> None:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -145,3 +146,17 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     assert alignment.align(frame.limit(0)).count() == 0
     empty = spark.createDataFrame([(1, None, "", ""), (2, "▁", "", "")], DOCS)
     assert {r["groups_sha256"] for r in alignment.align(empty).collect()} == {""}
+
+
+def test_pieces_and_places_without_python_calls_per_known_piece():
+    texts = ["a b", " a b", "a  b", "a b ", "a \nb", "a\n b", "a\nb c", "a\tb  c", "  a", "x", " ", "a  b c", "a b c"]
+    for text in texts:
+        whole = re.split(r"(?<=\S)(?= \S)", " " + text)
+        assert [p for pieces in alignment.pieces_of(text) for p in pieces] == [p[1:] for p in whole], text
+    memory = alignment.Memory(alignment.Aligner(*alignment.default_paths()))
+    lists = [["one", "two", "one", ""], [], ["two", "three", "one"]]
+    first, again = memory.places(lists), memory.places(lists)
+    assert [at.tolist() for at in first] == [at.tolist() for at in again]
+    assert [at.tolist() for at in first] == [[memory.slots[p] for p in pieces] for pieces in lists]
+    # A look that misses is a plain dictionary's, not a call into Python.
+    assert type(memory.slots) is dict
