@@ -29,8 +29,8 @@ MAX_SEGMENTS = 256
 # Examples and ids that a task holds while it packs a block.
 BLOCK_EXAMPLES = 2048
 BLOCK_IDS = 4_000_000
-# Words, and parts of words, whose ids a Python worker keeps, each twice over; about 200 bytes each.
-KNOWN_WORDS = 250_000
+# Words and parts of words whose ids a Python worker keeps, twice over; about 200 bytes each.
+KNOWN_WORDS = 80_000
 SLICE = 1 << 20
 SEQUENCE_BITS = 36
 
@@ -71,7 +71,6 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.words = _Words(self._word, {})
-        self.pieces = _Words(self._piece, {})
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x180)}
 
@@ -84,21 +83,26 @@ class WordTokenizer:
         out = b"".join(map(self.words.__getitem__, text.split()))
         if len(self.words) >= KNOWN_WORDS:
             self.words = _Words(self._word, dict(self.words))
-        if len(self.pieces) >= KNOWN_WORDS:
-            self.pieces = _Words(self._piece, dict(self.pieces))
         return out
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
-            return self.pieces[word.lower()]
+            return self._part(word.lower())
         letters = word.rstrip(string.punctuation)
         if letters.isalpha() and (letters.isascii() or self._PLAIN.fullmatch(letters)) and "<|" not in word:
             # Signs after letters are one piece.
             signs = word[len(letters) :]
-            return self.pieces[letters.lower()] + self.pieces[signs] if signs else self.pieces[letters.lower()]
+            return self._part(letters.lower()) + self._part(signs) if signs else self._part(letters.lower())
         if "<|" in word or not self._PLAIN.fullmatch(word):
             return _packed(self.whole.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(word.lower())))
+        return b"".join(map(self._part, self._PIECES.findall(word.lower())))
+
+    def _part(self, piece: str) -> bytes:
+        """Ids of a part of a word, which as a word has the same ones."""
+        found = self.words.get(piece)
+        if found is None:
+            found = self.words[piece] = self.words.old.get(piece) or self._piece(piece)
+        return found
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.translate(self.letters)

@@ -129,3 +129,17 @@ def test_letters_with_signs_need_no_regular_expression(monkeypatch):
     monkeypatch.undo()
     for text in ["a<|b", "end<|", "it's", "don't.", "x'S,", "×, ÷", "Σας, σ.", "字, 1.", "a1, b_c", "...", "d'", "<|endoftext|>."]:
         assert list(np.frombuffer(known(text), "<u4")) == known.whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_and_their_parts_share_one_small_memory(path, monkeypatch):
+    texts = ["haus Haus, HAUS. haus's 12,5 '12 größe Größe! a<|b", "' 's , <| haus größe 1 2 a<| '"]
+    for order in (texts, texts[::-1]):
+        mine = WordTokenizer(path)
+        for text in order * 2:
+            assert np.frombuffer(mine(text), "<u4").tolist() == mine.whole.encode(text, add_special_tokens=False).ids
+    # A word of small letters is kept once, not as a word and as its part.
+    mine, words = WordTokenizer(path), [f"{a}{b}o" for a in "bcdfghklmnprst" for b in "aeiouäöü"]
+    mine(" ".join(words))
+    kept = [w for memory in vars(mine).values() if isinstance(memory, dict) and "bao" in memory for w in memory]
+    assert sorted(kept) == sorted(words)
+    assert packing.KNOWN_WORDS <= 100_000
