@@ -25,6 +25,8 @@ _SLACK = 1e-6
 # Rows of a batch, and queries that are multiplied with a part at a time.
 _BATCH = 1000
 _MET = 100
+# Bytes of the queries of one share and their results.
+SHARE_BYTES = 128_000_000
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ def nearest_vectors(
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     top = lambda pairs: pairs.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
     near = cut_lineage(top(_meet(first_visits(cells, asked, k), placed, k)))
-    return top(near.unionByName(_meet(later_visits(cells, asked, near, k), placed, k)))
+    return top(near.unionByName(_meet_all(cells, reached(asked, near, k), placed, k)))
 
 
 def build_cells(
@@ -137,12 +139,16 @@ def first_visits(cells: Cells, asked: DataFrame, k: int) -> DataFrame:
 
 def later_visits(cells: Cells, asked: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """The same for the other cells in reach of each query, given what the first ones held."""
+    return _visits(cells, reached(asked, near, k), lambda away, reach: cells.within(away, reach) & ~cells.first(away, k))
+
+
+def reached(asked: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(query_id, q, reach): the distance within which all of a query's ``k`` best lie, given what its first cells held."""
     # Similarities are steps of 1 / SIM_SCALE: a vector that ties lies at most half a step lower.
     reach = F.sqrt(F.greatest(2.0 - 2.0 * F.min("sim") + 4.0 / SIM_SCALE, F.lit(0.0)))
     # A query that met fewer than k vectors has met all cells.
     bounds = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), reach.alias("reach")).filter(F.col("n") >= k)
-    bounded = asked.join(bounds.drop("n"), "query_id")
-    return _visits(cells, bounded, lambda away, reach: cells.within(away, reach) & ~cells.first(away, k))
+    return asked.join(bounds.drop("n"), "query_id")
 
 
 def _visits(cells: Cells, asked: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -196,6 +202,111 @@ def _meet(visits: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(task, schema.add("sim", DoubleType()))
 
 
+def _meet_all(cells: Cells, bounded: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best vectors of each query among the cells of ``later_visits``.
+
+    Visits would repeat a query in every cell in its reach. Here a task holds a share of the queries and their ``k`` best so
+    far, and reads all vectors, a part at a time; it multiplies a part only with the queries that have its cell in reach. Vectors
+    are sent once to each share, queries once, and a query's results are one share's.
+    """
+    bounded = cut_lineage(bounded)
+    # A query takes its vector, twice k results and a bit for each cell. More shares than cores would only repeat vectors.
+    count, width = bounded.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    held = count * (8 * width + 64 * k + len(cells.centers) // 8 + 100)
+    shares = max(placed.sparkSession.sparkContext.defaultParallelism, -(-held // SHARE_BYTES))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    vectors = placed.select(every, F.lit(1).alias("kind"), "cell", "part", "away", "vec_id", "label", F.col("u").alias("v"))
+    share = F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share")
+    queries = bounded.select(share, F.lit(0).alias("kind"), F.lit(-1).alias("cell"), F.lit(-1).alias("part"), "query_id", "reach", F.col("q").alias("v"))
+    dealt = queries.unionByName(vectors, allowMissingColumns=True).repartitionById(shares, "share")
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, wait, at, part = [], None, None, []
+        for batch in _sliced(batches):
+            keys = np.stack([batch.column(n).to_numpy() for n in ("kind", "cell", "part")])
+            cuts = (np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist()
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                key, rows = tuple(keys[:, start].tolist()), batch.slice(start, stop - start)
+                if key[0] == 0:
+                    asked.append(rows)
+                    continue
+                if not asked:
+                    continue
+                wait = wait or _Asked(asked, cells, k)
+                if key != at:
+                    if part:
+                        wait.meet(_Part(part), at[1])
+                    at, part = key, []
+                part.append(rows)
+        if part:
+            wait.meet(_Part(part), at[1])
+        if wait:
+            yield from wait.found()
+
+    kinds = {f.name: f.dataType for f in dealt.schema.fields}
+    schema = StructType()
+    for name in ("query_id", "vec_id", "label"):
+        schema = schema.add(name, kinds[name])
+    ordered = dealt.sortWithinPartitions("share", "kind", "cell", "part")
+    return ordered.mapInArrow(task, schema.add("sim", DoubleType()))
+
+
+class _Asked:
+    """Queries of one share with their reach, which shrinks, and the best vectors found so far."""
+
+    def __init__(self, held: list[pa.RecordBatch], cells: Cells, k: int):
+        table = pa.Table.from_batches(held).combine_chunks()
+        self.k, self.ids = k, table["query_id"].combine_chunks()
+        self.units = np.concatenate([_matrix(rows.column("v")) for rows in held])
+        self.reach = table["reach"].to_numpy().copy()
+        parts = [slice(i, i + _BATCH) for i in range(0, len(self.reach), _BATCH)]
+        self.cells, wanted = cells, []
+        for p in parts:
+            away = cells.distances(self.units[p])
+            wanted.append(np.packbits(cells.within(away, self.reach[p]) & ~cells.first(away, k), axis=1))
+        self.wanted = np.concatenate(wanted)
+        self.held: list[pa.RecordBatch] = []
+        self.rows = 0
+
+    def meet(self, part: _Part, cell: int) -> None:
+        rows = np.flatnonzero(self.wanted[:, cell >> 3] & (128 >> (cell & 7)))
+        center = self.cells.centers[cell]
+        for at in range(0, len(rows), _MET):
+            some = rows[at : at + _MET]
+            away = np.sqrt(np.maximum(2.0 - 2.0 * (self.units[some] @ center), 0.0))
+            r, c, sims = part.nearest(self.units[some], away, self.reach[some], self.k)
+            if len(r):
+                arrays = [pa.array(some[r]), part.ids.take(pa.array(c)), part.labels.take(pa.array(c)), pa.array(sims[r, c])]
+                self.held.append(pa.RecordBatch.from_arrays(arrays, names=["row", "vec_id", "label", "sim"]))
+                self.rows += len(r)
+        if self.rows > max(2 * self.k * len(self.reach), 1_000_000):
+            self._merge()
+
+    def _merge(self) -> None:
+        """Only the ``k`` best of each query stay, and bound its reach."""
+        if not self.held:
+            return
+        table = pa.Table.from_batches(self.held).combine_chunks()
+        row, sim = table["row"].to_numpy(), table["sim"].to_numpy()
+        ids = table["vec_id"].combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy()
+        order = np.lexsort((ids, -sim, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        kth = order[place == self.k - 1]
+        least = np.sqrt(np.maximum(2.0 - 2.0 * sim[kth] + 4.0 / SIM_SCALE, 0.0))
+        at = row[place == self.k - 1]
+        self.reach[at] = np.minimum(self.reach[at], least)
+        kept = table.take(pa.array(order[place < self.k])).combine_chunks()
+        self.held, self.rows = kept.to_batches(), kept.num_rows
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        for batch in self.held:
+            for some in _sliced([batch]):
+                arrays = [self.ids.take(some.column("row")), *(some.column(n) for n in ("vec_id", "label", "sim"))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "label", "sim"])
+
+
 class _Part:
     """The vectors of one part of a cell."""
 
@@ -212,7 +323,14 @@ class _Part:
 
     def best(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
         away, reach = asked.column("away").to_numpy(), asked.column("reach").to_numpy()
-        sims = np.floor(_matrix(asked.column("v")) @ self.units.T * SIM_SCALE + 0.5) / SIM_SCALE
+        rows, columns, sims = self.nearest(_matrix(asked.column("v")), away, reach, k)
+        arrays = [asked.column("query_id").take(pa.array(rows)), self.ids.take(pa.array(columns)),
+                  self.labels.take(pa.array(columns)), pa.array(sims[rows, columns])]
+        return pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "label", "sim"])
+
+    def nearest(self, units: np.ndarray, away: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and columns of the ``k`` best vectors of each query within its reach, and all similarities."""
+        sims = np.floor(units @ self.units.T * SIM_SCALE + 0.5) / SIM_SCALE
         near = np.abs(away[:, None] - self.away[None, :]) <= reach[:, None] + _SLACK
         # Unit vectors within reach of each other are at least so similar.
         near &= sims >= (1.0 - reach**2 / 2.0 - _SLACK)[:, None]
@@ -223,9 +341,7 @@ class _Part:
             near[row] = False
             near[row, found[np.lexsort((self.order[found], -sims[row, found]))[:k]]] = True
         rows, columns = np.nonzero(near)
-        arrays = [asked.column("query_id").take(pa.array(rows)), self.ids.take(pa.array(columns)),
-                  self.labels.take(pa.array(columns)), pa.array(sims[rows, columns])]
-        return pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "label", "sim"])
+        return rows, columns, sims
 
 
 def _directed(vectors: DataFrame) -> DataFrame:
